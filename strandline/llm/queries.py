@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, tokens
-from .shared import table
+from pyspark.sql import functions as F
+
+from . import bpe, langid, media, quality, tokens
+from .shared import crc_of_id, table
 
 
 def vocabulary(name: str) -> str:
@@ -18,9 +20,28 @@ def op1_token_binary(spark, sf_dir):
     return tokens.read(shards, tokens.crc_of_ids, "ids_crc32 long")
 
 
+def op3_media_tiles(spark, sf_dir):
+    return media.text_digests(media.store_texts(table(spark, sf_dir, "documents")))
+
+
+def op6_quality_cnn(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = crc_of_id() % 3 == 1
+    net = quality.fit(docs, table(spark, sf_dir, "labels"), ~held)
+    return quality.score(docs, net).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op7_bpe_segment_tree(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_binary, op7_bpe_segment_tree)}
+def op10_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = crc_of_id() % 4 == 2
+    model = langid.fit(docs.where(~held), "lang", "text", F.col("doc_id"))
+    return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+_ALL = (op1_token_binary, op3_media_tiles, op6_quality_cnn, op7_bpe_segment_tree, op10_language_id)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {}
