@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, quality, tokens
+from . import bpe, decontam, langid, media, quality, tokens, url_filter
 from .shared import crc_of_id, table
 
 
@@ -24,6 +24,10 @@ def op3_media_tiles(spark, sf_dir):
     return media.text_digests(media.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op4_decontamination(spark, sf_dir):
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_cnn(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held = crc_of_id() % 3 == 1
@@ -35,6 +39,13 @@ def op7_bpe_segment_tree(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+RULES = url_filter.rules(("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+
+
+def op9_url_filter(spark, sf_dir):
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), RULES)
+
+
 def op10_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held = crc_of_id() % 4 == 2
@@ -42,6 +53,6 @@ def op10_language_id(spark, sf_dir):
     return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-_ALL = (op1_token_binary, op3_media_tiles, op6_quality_cnn, op7_bpe_segment_tree, op10_language_id)
+_ALL = (op1_token_binary, op3_media_tiles, op4_decontamination, op6_quality_cnn, op7_bpe_segment_tree, op9_url_filter, op10_language_id)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op4_decontamination": decontam.SQL}
