@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, media, quality, tokens, url_filter
+from . import bpe, decontam, langid, lattice_lm, media, quality, tokens, url_filter
 from .shared import crc_of_id, table
 
 
@@ -28,6 +28,13 @@ def op4_decontamination(spark, sf_dir):
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_lattice_lm(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = crc_of_id() % 7 == 2
+    out = lattice_lm.score(docs, vocabulary("piece_bpe_32k.model"), ~held)
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_quality_cnn(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held = crc_of_id() % 3 == 1
@@ -53,6 +60,6 @@ def op10_language_id(spark, sf_dir):
     return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-_ALL = (op1_token_binary, op3_media_tiles, op4_decontamination, op6_quality_cnn, op7_bpe_segment_tree, op9_url_filter, op10_language_id)
+_ALL = (op1_token_binary, op3_media_tiles, op4_decontamination, op5_lattice_lm, op6_quality_cnn, op7_bpe_segment_tree, op9_url_filter, op10_language_id)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {"op4_decontamination": decontam.SQL}
