@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, lattice_lm, media, quality, tokens, url_filter
+from . import bpe, decontam, jaccard_join, langid, lattice_lm, media, quality, tokens, url_filter
 from .shared import crc_of_id, table
 
 
@@ -46,6 +46,10 @@ def op7_bpe_segment_tree(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op8_jaccard_join(spark, sf_dir):
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 RULES = url_filter.rules(("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 
@@ -60,6 +64,6 @@ def op10_language_id(spark, sf_dir):
     return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-_ALL = (op1_token_binary, op3_media_tiles, op4_decontamination, op5_lattice_lm, op6_quality_cnn, op7_bpe_segment_tree, op9_url_filter, op10_language_id)
+_ALL = (op1_token_binary, op3_media_tiles, op4_decontamination, op5_lattice_lm, op6_quality_cnn, op7_bpe_segment_tree, op8_jaccard_join, op9_url_filter, op10_language_id)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {"op4_decontamination": decontam.SQL}
