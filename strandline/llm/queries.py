@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jaccard_join, langid, lattice_lm, media, quality, tokens, url_filter
+from . import bpe, decontam, jaccard_join, langid, lattice_lm, media, quality, suffix_dedup, tokens, url_filter
 from .shared import crc_of_id, table
 
 
@@ -20,6 +20,10 @@ def op1_token_binary(spark, sf_dir):
     return tokens.read(shards, tokens.crc_of_ids, "ids_crc32 long")
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_media_tiles(spark, sf_dir):
     return media.text_digests(media.store_texts(table(spark, sf_dir, "documents")))
 
@@ -64,6 +68,6 @@ def op10_language_id(spark, sf_dir):
     return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-_ALL = (op1_token_binary, op3_media_tiles, op4_decontamination, op5_lattice_lm, op6_quality_cnn, op7_bpe_segment_tree, op8_jaccard_join, op9_url_filter, op10_language_id)
+_ALL = (op1_token_binary, op2_suffix_dedup, op3_media_tiles, op4_decontamination, op5_lattice_lm, op6_quality_cnn, op7_bpe_segment_tree, op8_jaccard_join, op9_url_filter, op10_language_id)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {"op4_decontamination": decontam.SQL}
