@@ -433,8 +433,8 @@ def decode(df, path: str, id_col: str = "doc_id", ids_col: str = "ids"):
     return out.withColumnRenamed("id", id_col)
 
 
-def digests(df, path: str, id_col: str = "doc_id", text_col: str = "text"):
-    """Encode, decode and return digests: n_tokens, ids_sha256, decoded_sha256 of each row."""
+def digests(df, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False):
+    """Encode, decode and return n_tokens, ids_sha256, decoded_sha256 (and ids) of each row."""
 
     def run(batches):
         bpe, cache, names = _codec(path)
@@ -444,7 +444,10 @@ def digests(df, path: str, id_col: str = "doc_id", text_col: str = "text"):
             at = np.concatenate([[0], np.cumsum(n)]).tolist()
             a = [hashlib.sha256(raw[4 * i : 4 * j]).hexdigest() for i, j in zip(at, at[1:], strict=False)]
             b = [hashlib.sha256(" ".join(tokens[i:j]).encode()).hexdigest() for i, j in zip(at, at[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            more = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))] if with_ids else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b), *more], names_out)
 
-    out = df.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text").mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    names_out = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+    schema = f"id {dict(df.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    out = df.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text").mapInArrow(run, schema)
     return out.withColumnRenamed("id", id_col)

@@ -81,8 +81,9 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
     """The rows of ``docs`` without a verified overlap; all their columns."""
-    bad = overlaps(docs, items, id_col, text_col, **names).select(F.col(id_col).alias("_leaked")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("_leaked"), "left_anti")
+    marked = docs.withColumn("_row", F.xxhash64(F.col(id_col), F.col(text_col)))
+    bad = overlaps(marked, items, "_row", text_col, **names).select("_row").distinct()
+    return marked.join(bad, "_row", "left_anti").drop("_row")
 
 
 #: The same result in DuckDB's SQL, over every alignment that shares a token.

@@ -360,8 +360,8 @@ def _lead(hot: DataFrame, links: DataFrame, sets: _Sets) -> DataFrame:
         used = settle(used.union(lead.select("sign", F.col("a").alias("node"))))
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: the id column, n_shingles and component_id."""
+def _rooted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Per row: row (a hash of id and text), id, n and root (null: an empty set)."""
     buckets = 4 * dealt(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -376,7 +376,26 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     notes = described.select("node", F.explode("notes").alias("x")).select("node", "x.*").distinct()
     hot = met.where("kind = 1").select(F.col("a").alias("sign"), F.col("b").alias("node")).distinct()
     links = _lead(_short_of_cover(hot, notes), links, sets)
-    own = described.join(components(links), "node", "left").select("id", "n", F.coalesce("root", "node").alias("root"))
+    return described.join(components(links), "node", "left").select("row", "id", "n", F.coalesce("root", "node").alias("root"))
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: the id column, n_shingles and component_id."""
+    own = _rooted(docs, id_col, text_col)
     least = own.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
     out = own.join(least, "root", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates; all their columns.
+
+    Of each component the row of the smallest id stays (a null id only if there is
+    no other; of equal ids the text of the least hash); all rows with empty sets
+    stay, of equal ones one.
+    """
+    own = settle(_rooted(docs, id_col, text_col))
+    first = own.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("f")).select(F.col("f.row").alias("_row"))
+    stay = first.union(own.where("root is null").select("row")).distinct()
+    marked = docs.withColumn("_row", F.xxhash64(F.col(id_col), F.col(text_col)))
+    return marked.join(stay, "_row").dropDuplicates(["_row"]).drop("_row")
