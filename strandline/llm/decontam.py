@@ -30,6 +30,8 @@ WINDOW, NEEDED = 13, 10
 LEAST_WORDS = 5
 #: Rows of benchmark hashes (24 bytes each and the item's tokens) that may be broadcast.
 BROADCAST_ROWS = 200_000
+#: A column of whole rows' names that no table has.
+ROW = "_strandline_row"
 
 
 def tokens(text: str):
@@ -81,9 +83,9 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
     """The rows of ``docs`` without a verified overlap; all their columns."""
-    marked = docs.withColumn("_row", F.xxhash64(F.col(id_col), F.col(text_col)))
-    bad = overlaps(marked, items, "_row", text_col, **names).select("_row").distinct()
-    return marked.join(bad, "_row", "left_anti").drop("_row")
+    marked = docs.withColumn(ROW, F.xxhash64(F.col(id_col), F.col(text_col)))
+    bad = overlaps(marked, items, ROW, text_col, **names).select(ROW).distinct()
+    return marked.join(bad, ROW, "left_anti").drop(ROW)
 
 
 #: The same result in DuckDB's SQL, over every alignment that shares a token.

@@ -55,6 +55,8 @@ FLUSH = 2_000_000
 FAN = 512
 #: Members of a hot signature that lead in one turn.
 TURNS = 16
+#: A column of whole rows' names that no table has.
+ROW = "_strandline_row"
 
 _U = np.uint64
 
@@ -395,7 +397,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stay, of equal ones one.
     """
     own = settle(_rooted(docs, id_col, text_col))
-    first = own.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("f")).select(F.col("f.row").alias("_row"))
+    first = own.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("f")).select(F.col("f.row").alias(ROW))
     stay = first.union(own.where("root is null").select("row")).distinct()
-    marked = docs.withColumn("_row", F.xxhash64(F.col(id_col), F.col(text_col)))
-    return marked.join(stay, "_row").dropDuplicates(["_row"]).drop("_row")
+    marked = docs.withColumn(ROW, F.xxhash64(F.col(id_col), F.col(text_col)))
+    return marked.join(stay, ROW).dropDuplicates([ROW]).drop(ROW)

@@ -286,13 +286,13 @@ def _send_anchors(text: int, buckets: int):
     return run
 
 
-def _judge_anchors(t: pa.Table) -> pa.Table:
+def _judge_anchors(t: pa.Table, hot: int) -> pa.Table:
     """Per block: 0 for anchors that stand once, 1 for repeated ones, 2 for hot ones."""
     hashes = [unplanes(x, 8) for x in t["a"].to_pylist()]
     counts = [unplanes(x, 4).astype(np.int64) for x in t["b"].to_pylist()]
     _, codes = np.unique(np.concatenate(hashes), return_inverse=True)
     total = np.bincount(codes, np.concatenate(counts))[codes]
-    kind = ((total > 1).astype(np.uint8) + (total > HOT)).astype(np.uint8)
+    kind = ((total > 1).astype(np.uint8) + ((total > 1) & (total > hot))).astype(np.uint8)
     cuts = np.cumsum([0, *map(len, hashes)]).tolist()
     rows = [(k, b, None, kind[i:j].tobytes(), None, None) for k, b, i, j in zip(t["block"].to_pylist(), t["bucket"].to_pylist(), cuts, cuts[1:], strict=False)]
     return pa.Table.from_arrays(_rows(rows), schema=_ARROW)
@@ -413,14 +413,14 @@ def _removed(t: pa.Table, text: int):
     return batch, data, off, np.cumsum(cover[: len(data)]) > 0
 
 
-def remove(docs: DataFrame, id_col: str, text_col: str, finish, fields: str) -> DataFrame:
+def remove(docs: DataFrame, id_col: str, text_col: str, finish, fields: str, hot: int = HOT) -> DataFrame:
     """Runs the operator; ``finish(batch, data, off, gone)`` makes a block's output table."""
     spark = docs.sparkSession
     buckets = dealt(spark)
     text = docs.columns.index(text_col)
     blocks = settle(docs.mapInArrow(_send_anchors(text, buckets), _SCHEMA))
     heads = blocks.where("bucket < 0")
-    kinds = blocks.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _judge_anchors(t), _SCHEMA)
+    kinds = blocks.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _judge_anchors(t, hot), _SCHEMA)
     strings = settle(heads.union(kinds).groupBy("block").applyInArrow(_send_strings(text, buckets), _SCHEMA))
     masks = strings.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _judge_strings(t), _SCHEMA)
     return strings.where("bucket < 0").union(masks).groupBy("block").applyInArrow(lambda t: finish(*_removed(t, text)), fields)
@@ -438,7 +438,7 @@ def _spans(off, gone) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """Per row: the id column, n_bytes, n_removed, n_spans and kept_sha256."""
 
     def finish(batch, data, off, gone):
@@ -450,7 +450,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return pa.table({"id": batch.column(0), "n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(np.diff(off) - n), "n_spans": pa.array(_spans(off, gone)), "kept_sha256": pa.array(sha, pa.string())})
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = remove(rows, "id", "text", finish, f"id {dict(docs.dtypes)[id_col]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = remove(rows, "id", "text", finish, f"id {dict(docs.dtypes)[id_col]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string", hot)
     return out.withColumnRenamed("id", id_col)
 
 
