@@ -17,11 +17,10 @@ from strandline.llm.shared import crc_of_id, settle, table
 def language_id(spark, docs, sf_dir):
     """Documents in which no language can be told (null, or without a letter) go."""
     model = langid.fit(docs.where(crc_of_id() % 4 != 2), "lang", "text", F.col("doc_id"))
-    rest = [c for c in docs.columns if c != "doc_id"]
-    out = langid.predict(docs, model, keep=tuple(rest))
-    if model is not None:
-        out = out.where("lang_pred <> 'und'")
-    return out.select(*docs.columns)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    out = langid.predict(plain, model, plain.columns[0], plain.columns[docs.columns.index("text")], tuple(plain.columns[1:]))
+    out = out.where("lang_pred <> 'und'") if model is not None else out
+    return out.select(*plain.columns).toDF(*docs.columns)
 
 
 def ngram_jaccard_join(spark, docs, sf_dir):
