@@ -153,10 +153,11 @@ def repeated_windows(strings: np.ndarray, core: np.ndarray) -> np.ndarray:
     """
     n, side = len(strings), RUN - 1
     width = 2 * RUN
-    table = np.empty((n, width), np.int64)
-    table[:, :side] = strings[:, :side] + n
-    table[:, side] = core + n + 256
-    table[:, side + 1 : -1] = strings[:, side:] + n
+    table = np.zeros((n, width), np.int64)
+    table[:, :side] = strings[:, :side]
+    table[:, side + 1 : -1] = strings[:, side:]
+    table[:, side] = core + 256
+    table[:, :-1] += n
     table[:, -1] = np.arange(n)  # a separate end for each string
     flat = table.ravel()
     order = np.array(suffix_array(flat.tolist()), np.int64)
