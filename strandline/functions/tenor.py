@@ -85,8 +85,5 @@ def interpolate_kind(df: DataFrame, xs: str, ys: str, x: str, out: str, kind: st
     if kind not in ("nearest", "previous", "next", "cubic"):
         raise ValueError(f"no such kind: {kind}")
 
-    @F.pandas_udf("double")
-    def run(a: pd.Series, b: pd.Series, at: pd.Series) -> pd.Series:
-        return pd.Series([one(p, q, r) for p, q, r in zip(a, b, at, strict=True)], dtype=float)
-
+    run = F.pandas_udf(lambda a, b, at: pd.Series([one(p, q, r) for p, q, r in zip(a, b, at, strict=True)], dtype=float), "double")
     return df.withColumn(out, F.nanvl(run(xs, ys, F.col(x).cast("double")), F.lit(None).cast("double")))

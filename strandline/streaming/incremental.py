@@ -110,6 +110,8 @@ def merge_stream(stream: DataFrame, path: str, checkpoint: str, combine: Callabl
 
 def windowed(stream: DataFrame, idx: str, width: str, late: str, by=(), slide: str | None = None, **aggregates: Column) -> DataFrame:
     """Tumbling or sliding aggregates of a stream (or a table); rows late by more than ``late`` go."""
+    if stream.isStreaming:  # watermarks need stamps with a zone
+        stream = stream.withColumn(idx, F.col(idx).cast("timestamp"))
     w = F.window(idx, width, slide) if slide else F.window(idx, width)
     made = stream.withWatermark(idx, late).groupBy(w, *by).agg(*[a.alias(k) for k, a in aggregates.items()])
     return made.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *by, *aggregates)
