@@ -48,7 +48,7 @@ class Calendar:
                 F.last(on, ignorenulls=True).over(w).alias("prev"),
                 F.first(on, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
                 F.last(on, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-            )
+            ).cache()
         return self._table
 
     def _at(self, df: DataFrame, t: str) -> DataFrame:
@@ -165,11 +165,11 @@ class Calendar:
         return self.trading(df, t, "_trading").where("_trading").drop("_trading")
 
 
-_known: dict[str, Calendar] = {}
+_known: dict[str, tuple[Calendar, dict]] = {}
 
 
 def calendar(spark: SparkSession, key: str = "calendar", **how) -> Calendar:
-    """The calendar registered under a key, or a new one."""
-    if how or key not in _known or _known[key].spark is not spark:
-        _known[key] = Calendar(spark, key, **how)
-    return _known[key]
+    """The calendar registered under a key, or a new one where it is asked for differently."""
+    if key not in _known or _known[key][0].spark is not spark or (how and _known[key][1] != how):
+        _known[key] = Calendar(spark, key, **how), how
+    return _known[key][0]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import dates, missing, nested, tenor, text
-from .functions.calendars import Calendar
+from .functions.calendars import calendar
 from .operators import align, bitemporal, fill, frame, joins, slices
 from .streaming import incremental
 
@@ -517,7 +517,7 @@ _CAL = "with days as (select unnest(range(date '1990-01-01', date '2010-01-02',
 
 
 def _calendar(spark):
-    return Calendar(spark, "test", HOLIDAYS, first="1990-01-01", last="2010-01-01")
+    return calendar(spark, "test", holidays=HOLIDAYS, first="1990-01-01", last="2010-01-01")
 
 
 def _orders_1998(spark, sf):
