@@ -278,16 +278,16 @@ def score(docs, path: str, train, id_col: str = "doc_id", text_col: str = "text"
         logp = spark.sparkContext.broadcast(np.log(p))
 
         def uses(batches, logp=logp):
+            out = np.zeros(len(logp.value))  # of the whole task, so that it sends each piece once
             for batch in batches:
                 for blob, c in zip(batch.column(0), batch.column(1), strict=True):
                     words, c = _words(blob.as_py()), np.frombuffer(c.as_py(), "<i8")
                     known = np.flatnonzero(c)
                     words, c = [words[i] for i in known], c[known]
-                    out = np.zeros(len(logp.value))
                     for part, block in matrices(words):
                         out += expected(vocabulary.value, logp.value, block, c[part].astype(float))
-                    some = np.flatnonzero(out > 0)
-                    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.rint(out[some] * UNIT).astype(np.int64))], ["piece", "n"])
+            some = np.flatnonzero(out > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.rint(out[some] * UNIT).astype(np.int64))], ["piece", "n"])
 
         got = table.select("words", "counts").mapInArrow(uses, "piece long, n long").groupBy("piece").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n")).collect()
         counts = np.zeros(len(p))
