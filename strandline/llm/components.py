@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import release, settle
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -37,4 +37,5 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
-        e = settle(_small(settle(_large(e))))
+        old, e = e, settle(_small(_large(e)))
+        release(old)

@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import light
+
 MASKS = ((0, 1, 3, 6, 7), (0, 1, 5, 7, 8), (0, 1, 4, 5, 6))
 WINDOW, NEEDED = 13, 10
 LEAST_WORDS = 5
@@ -84,7 +86,7 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
     """The rows of ``docs`` without a verified overlap; all their columns."""
     marked = docs.withColumn(ROW, F.xxhash64(F.col(id_col), F.col(text_col)))
-    bad = overlaps(marked, items, ROW, text_col, **names).select(ROW).distinct()
+    bad = light(overlaps(marked, items, ROW, text_col, **names).select(ROW).distinct())
     return marked.join(bad, ROW, "left_anti").drop(ROW)
 
 

@@ -16,8 +16,8 @@ the band, in which every shingle is a segment of its own.
 
 Signatures meet in buckets.  A signature of at most ``HOT`` sets gives its pairs
 (a fixed bound).  A signature of more is hot and counts for nothing unless a set
-has too little cover without its hot signatures; among such sets alone, hot
-groups are linked by leaders: each member is compared with a leader, then, while
+has too little cover without its hot signatures.  Among such sets alone, hot
+signatures that share members form groups, which are linked by leaders: each member is compared with a leader, then, while
 a group still spans several components, members of the smaller ones lead in
 turn, so that no pair of a group that could join two components is left out and
 no group is gathered or multiplied out.
@@ -42,7 +42,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import dealt, settle
+from .shared import dealt, light, release, settle, tidy
 from .textkit import mix, planes, ragged, shingle_hashes, slices, unplanes, word_bounds, word_hashes
 
 K = 5
@@ -55,6 +55,8 @@ FLUSH = 2_000_000
 FAN = 512
 #: Members of a hot signature that lead in one turn.
 TURNS = 16
+#: Pairs of a turn, before repeats go, up to which more members lead at once.
+ROUND = 4_000_000
 #: A column of whole rows' names that no table has.
 ROW = "_strandline_row"
 
@@ -103,23 +105,24 @@ def allocate(band: int) -> tuple[int, int]:
 def _signatures(u: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Signatures of a set under a band's scheme, what each covers, and the whole cover."""
     segments, deleting = allocate(band)
-    seed = _U((band + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    seg = (mix(u ^ seed) % _U(segments)).astype(np.int64)
+    seed = _U((2 * band + 3) * 0x9E3779B97F4A7C15 & (1 << 64) - 1 | 1)
+    seg = ((((u * seed) >> _U(32)) * _U(segments)) >> _U(32)).astype(np.int64)
     order = np.argsort(seg, kind="stable")
-    seg, v = seg[order], mix(u[order] + seed)
+    seg, v = seg[order], u[order]
     begin = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
     size = np.diff(np.append(begin, len(seg)))
-    with np.errstate(over="ignore"):
-        sums = np.add.reduceat(v, begin)
-        salt = mix(seg[begin].astype(_U) ^ seed)
-        out = mix(sums ^ salt)
-        kind = seg[begin] < deleting
-        cover = np.where(kind, np.minimum(size, 2), 1)
-        many = np.flatnonzero(kind & (size > 1))
-        if len(many):
-            at = ragged(size[many], begin[many])
-            less = mix((np.repeat(sums[many], size[many]) - v[at]) ^ np.repeat(salt[many], size[many]))
-            return np.concatenate([out, less]), np.concatenate([cover, np.full(len(less), 2)]), int(cover.sum())
+    sums = np.add.reduceat(v, begin)  # shingles are mixed already, so their sum tells a subset
+    salt = (seg[begin].astype(_U) + _U(1)) * seed
+    out = mix(sums ^ salt)
+    if not deleting:
+        return out, np.ones(len(out), np.int64), len(out)
+    kind = seg[begin] < deleting
+    cover = np.where(kind, np.minimum(size, 2), 1)
+    many = np.flatnonzero(kind & (size > 1))
+    if len(many):
+        at = ragged(size[many], begin[many])
+        less = mix((np.repeat(sums[many], size[many]) - v[at]) ^ np.repeat(salt[many], size[many]))
+        return np.concatenate([out, less]), np.concatenate([cover, np.full(len(less), 2)]), int(cover.sum())
     return out, cover, int(cover.sum())
 
 
@@ -145,42 +148,70 @@ def shingle_sets(data, off):
 
 def node_of(u: np.ndarray) -> int:
     """The key of a set, as a signed 64-bit integer."""
-    with np.errstate(over="ignore"):
-        return int(mix(np.array([mix(u ^ _U(0xA5A5)).sum() + _U(len(u))], _U)).astype(np.int64)[0])
+    a, b = np.add.reduceat(u, [0]), np.add.reduceat(u * (u >> _U(9)), [0])
+    return int(mix(mix(a + _U(len(u))) ^ b).astype(np.int64)[0])
 
 
 def all_signatures(u: np.ndarray):
-    """(signatures with scheme and cover in the low byte, [(scheme, cover, need)])."""
+    """(signatures with scheme and cover in the high byte, [(scheme, cover, need)])."""
     out, notes = [], []
     for band, need in roles(len(u)):
         s, w, cover = _signatures(u, band)
-        out.append((s & ~_U(255)) | _U(band << 1) | (w > 1).astype(_U))
+        out.append(s >> _U(8) | ((w > 1).astype(_U) | _U(band << 1)) << _U(56))
         notes.append((band, cover, need))
         if cover < need:
-            out.append((mix(u ^ _U(0xC0FFEE + band)) & ~_U(255)) | _U(64 + band << 1))
+            out.append(mix(u ^ _U(0xC0FFEE + band)) >> _U(8) | _U(64 + band << 1) << _U(56))
             notes.append((64 + band, len(u), need))
     return (np.concatenate(out) if out else np.empty(0, _U)), notes
 
 
+def sketch(u: np.ndarray) -> bytes:
+    """Counts of the shingles by their leading bits, 255 for more; empty for a set under 8."""
+    bits = min(12, len(u).bit_length() - 1)
+    if bits < 3:
+        return b""
+    return np.minimum(np.bincount((u >> _U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def may_link(na: int, a: bytes, nb: int, b: bytes) -> bool:
+    """False only if sets of these sizes and sketches cannot be similar enough."""
+    if min(na, nb) * DEN < max(na, nb) * NUM:
+        return False
+    if not a or not b:
+        return True
+    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
+    if x.max() == 255 or y.max() == 255:
+        return True
+    if len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x.reshape(len(y), -1).sum(axis=1)
+    both = int(np.minimum(x, y).sum())
+    return both * DEN >= NUM * (na + nb - both)
+
+
 def _describe(batches):
-    """Per row: n, node and the covers of its schemes."""
+    """Per row: its name, id, n, node and sketch."""
     for batch, data, off in slices(batches, 1):
-        n, nodes, notes = [], [], []
-        for u in shingle_sets(data, off):
-            n.append(len(u))
-            nodes.append(node_of(u) if len(u) else None)
-            notes.append([{"scheme": s, "cover": c, "need": k} for s, c, k in all_signatures(u)[1]])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(notes, _NOTES)], ["row", "id", "n", "node", "notes"])
+        sets = list(shingle_sets(data, off))
+        yield pa.RecordBatch.from_arrays([
+            batch.column(0), batch.column(2), pa.array([len(u) for u in sets], pa.int64()),
+            pa.array([node_of(u) if len(u) else None for u in sets], pa.int64()), pa.array([sketch(u) for u in sets], pa.binary()),
+        ], ["row", "id", "n", "node", "sketch"])
 
 
-_NOTES = pa.list_(pa.struct([("scheme", pa.int32()), ("cover", pa.int32()), ("need", pa.int32())]))
 _HOT_NAMES = ["kind", "bucket", "signs", "nodes", "keys", "sizes"]
 
 
+def short(signs: np.ndarray) -> np.ndarray:
+    """The high byte, which names scheme and cover, and the 40 bits after it."""
+    return signs >> _U(16)
+
+
 def _send(buckets: int):
-    """Signatures to buckets; those that are hot within a task leave at once (kind 1)."""
+    """Signatures to buckets (kind 0); members of those that are hot within a task leave
+    at once (kind 1), as do the covers of the sets (kind 2)."""
 
-    def flush(signs, index, keys, sizes):
+    def flush(signs, index, keys, sizes, notes):
         s, i = np.concatenate(signs), np.concatenate(index)
         order = np.argsort(s, kind="stable")
         s, i = s[order], i[order]
@@ -189,7 +220,8 @@ def _send(buckets: int):
         many = np.diff(np.append(begin, len(s)))
         hot = np.repeat(many > HOT, many)
         rank = np.arange(len(s)) - np.repeat(begin, many)
-        rows = []
+        cover = np.array(notes, np.int64)
+        rows = [(2, -1, keys[cover[:, 0]].astype("<i8").tobytes(), (cover[:, 1] << 56 | cover[:, 2] << 28 | cover[:, 3]).astype("<i8").tobytes(), b"", b"")]
         if hot.any():
             rows.append((1, -1, s[hot].astype("<u8").tobytes(), keys[i[hot]].astype("<i8").tobytes(), b"", b""))
         keep = ~hot | (rank <= HOT)  # of a hot one enough to show that it is hot
@@ -201,11 +233,11 @@ def _send(buckets: int):
         for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
             if b > a:
                 own, at = np.unique(i[a:b], return_inverse=True)
-                rows.append((0, k, planes(short(s[a:b]), 7), planes(at, 4), keys[own].astype("<i8").tobytes(), sizes[own].astype("<i4").tobytes()))
+                rows.append((0, k, planes(short(s[a:b]), 6), planes(at, 4), keys[own].astype("<i8").tobytes(), sizes[own].astype("<i4").tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int32(), *[pa.binary()] * 4], strict=True)], _HOT_NAMES)
 
     def run(batches):
-        signs, index, keys, sizes, seen, total = [], [], [], [], set(), 0
+        signs, index, keys, sizes, notes, seen, total = [], [], [], [], [], set(), 0
         for _, data, off in slices(batches, 0):
             for u in shingle_sets(data, off):
                 if len(u) < 3:
@@ -214,26 +246,22 @@ def _send(buckets: int):
                 if node in seen:
                     continue
                 seen.add(node)
-                s = all_signatures(u)[0]
+                s, own = all_signatures(u)
                 signs.append(s)
                 index.append(np.full(len(s), len(keys)))
+                notes += [(len(keys), *x) for x in own]
                 keys.append(node)
                 sizes.append(len(u))
                 total += len(s)
                 if total >= FLUSH:
-                    yield flush(signs, index, keys, sizes)
-                    signs, index, keys, sizes, seen, total = [], [], [], [], set(), 0
+                    yield flush(signs, index, keys, sizes, notes)
+                    signs, index, keys, sizes, notes, seen, total = [], [], [], [], [], set(), 0
         if total:
-            yield flush(signs, index, keys, sizes)
+            yield flush(signs, index, keys, sizes, notes)
 
     return run
 
 
-def short(signs: np.ndarray) -> np.ndarray:
-    """48 bits of the hash and the low byte, which names scheme and cover."""
-    return ((signs >> _U(16)) << _U(8)) | (signs & _U(255))
-
-
 def similar_sizes(a, b):
     low, high = np.minimum(a, b), np.maximum(a, b)
     return low * DEN >= high * NUM
@@ -244,7 +272,7 @@ def _meet(t: pa.Table) -> pa.Table:
     signs, nodes, sizes = [], [], []
     for s, at, keys, n in zip(*[t[c].to_pylist() for c in ("signs", "nodes", "keys", "sizes")], strict=True):
         at = unplanes(at, 4).astype(np.int64)
-        signs.append(unplanes(s, 7))
+        signs.append(unplanes(s, 6))
         nodes.append(np.frombuffer(keys, "<i8")[at])
         sizes.append(np.frombuffer(n, "<i4")[at])
     s, node, n = np.concatenate(signs), np.concatenate(nodes), np.concatenate(sizes).astype(np.int64)
@@ -273,9 +301,13 @@ def _meet(t: pa.Table) -> pa.Table:
 
 
 def _meet_or_pass(t: pa.Table) -> pa.Table:
-    """A bucket's pairs and hot members, or members that a task found hot itself."""
-    if t["kind"][0].as_py() == 0:
+    """A bucket's pairs and hot members; members that a task found hot itself; covers."""
+    kind = t["kind"][0].as_py()
+    if kind == 0:
         return _meet(t)
+    if kind == 2:
+        a, b = (np.concatenate([np.frombuffer(x, "<i8") for x in t[c].to_pylist()]) for c in ("signs", "nodes"))
+        return pa.table({"kind": pa.array(np.full(len(a), 2, np.int32)), "a": pa.array(a), "b": pa.array(b)})
     signs = np.concatenate([np.frombuffer(x, "<u8") for x in t["signs"].to_pylist()])
     nodes = np.concatenate([np.frombuffer(x, "<i8") for x in t["nodes"].to_pylist()])
     return pa.table({"kind": pa.array(np.ones(len(signs), np.int32)), "a": pa.array(short(signs).astype(np.int64)), "b": pa.array(nodes)})
@@ -299,15 +331,29 @@ def _verify(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["u", "v"])
 
 
+def _filter(batches):
+    """Pairs whose sketches do not rule a link out."""
+    for batch in batches:
+        a, b = batch.column(0), batch.column(1)
+        na, x, nb, y = (batch.column(i).to_pylist() for i in range(2, 6))
+        ok = pa.array([may_link(*v) for v in zip(na, x, nb, y, strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok)], ["a", "b"])
+
+
 class _Sets:
     """Whole sets of nodes, from one text of each."""
 
     def __init__(self, named: DataFrame, described: DataFrame):
         self.named, self.described = named, described
+        self.sketches = described.where("node is not null").select("node", "n", "sketch").dropDuplicates(["node"])
+
+    def only(self, nodes: DataFrame) -> _Sets:
+        """The same for some nodes (column node, distinct), from a table of their rows alone."""
+        return _Sets(self.named, settle(self.described.join(nodes, "node", "left_semi")))
 
     def of(self, nodes: DataFrame) -> DataFrame:
         """Columns node, set for the nodes of a DataFrame (column node, distinct)."""
-        row = self.described.where("node is not null").join(nodes, "node").groupBy("node").agg(F.min("row").alias("row"))
+        row = light(self.described.where("node is not null").join(nodes, "node").groupBy("node").agg(F.min("row").alias("row")))
 
         def run(batches):
             for batch, data, off in slices(batches, 1):
@@ -316,9 +362,16 @@ class _Sets:
 
         return self.named.join(row, "row").select("node", "text").mapInArrow(run, "node long, set binary")
 
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) without those that their sketches rule out."""
+        x = self.sketches.toDF("a", "na", "xa")
+        y = self.sketches.toDF("b", "nb", "xb")
+        rows = pairs.distinct().join(x, "a").join(y, "b").select("a", "b", "na", "xa", "nb", "xb")
+        return settle(rows.mapInArrow(_filter, "a long, b long"))
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b: different nodes) that link, as u, v."""
-        pairs = settle(pairs.distinct())
+        pairs = self.likely(pairs)
         if pairs.isEmpty():
             return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
         sets = settle(self.of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()), "lz4")
@@ -327,39 +380,59 @@ class _Sets:
         spread = pairs.join(fan, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int").alias("salt"))
         rest = spread.join(sets, spread.b == sets.node).select("a", "salt", "b", "set")
         rows = lead.union(rest).repartition(dealt(self.named.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-        return settle(rows.mapInArrow(_verify, "u long, v long"))
+        out = settle(rows.mapInArrow(_verify, "u long, v long"))
+        release(pairs, sets)
+        return out
 
 
 def _short_of_cover(hot: DataFrame, notes: DataFrame) -> DataFrame:
     """Hot signatures' members that have too little cover without their hot signatures."""
-    hot = hot.withColumns({"scheme": F.shiftright(F.col("sign").bitwiseAND(255), 1).cast("int"), "weight": 1 + F.col("sign").bitwiseAND(1)})
+    hot = hot.withColumns({"scheme": F.shiftright("sign", 41).cast("int"), "weight": 1 + F.shiftright("sign", 40).bitwiseAND(1)})
     lost = hot.groupBy("node", "scheme").agg(F.sum("weight").alias("lost"))
     own = notes.join(lost, ["node", "scheme"]).where("cover - lost < need").select("node", "scheme")
     return hot.join(own, ["node", "scheme"], "left_semi").select("sign", "node")
 
 
-def _lead(hot: DataFrame, links: DataFrame, sets: _Sets) -> DataFrame:
-    """The links, and those that join components within hot signatures."""
-    members = settle(hot)
+def _clusters(hot: DataFrame) -> DataFrame:
+    """Hot signatures of one scheme that share members as one group: sign, node.
+
+    Near copies share hundreds of signatures with almost the same members; as one
+    group each pair of them comes up once.
+    """
+    keyed = settle(hot.withColumn("key", F.xxhash64("node", F.shiftright("sign", 41))))
+    lead = keyed.groupBy("sign").agg(F.min("key").alias("u"))
+    edges = keyed.join(lead, "sign").where("u <> key").select("u", F.col("key").alias("v"))
+    keys = keyed.select("key", F.col("node").alias("member")).distinct()
+    return keys.join(components(edges), keys.key == F.col("node"), "left").select(F.coalesce("root", "key").alias("sign"), F.col("member").alias("node")).distinct()
+
+
+def _lead(hot: DataFrame, links: DataFrame, sets: _Sets) -> tuple[DataFrame, DataFrame]:
+    """The links, and those that join components within hot signatures; their components."""
+    members = settle(_clusters(hot))
     if members.isEmpty():
-        return links
+        return links, components(links)
+    sets = sets.only(members.select("node").distinct())
     lead = members.groupBy("sign").agg(F.min("node").alias("a"))
     first = members.join(lead, "sign").where("a <> node").select("a", F.col("node").alias("b"))
-    links = links.union(sets.links(first))
-    used = lead.select("sign", F.col("a").alias("node"))
+    links = settle(links.union(sets.links(first)))
+    roots = components(links)
+    used = settle(lead.select("sign", F.col("a").alias("node")))
     while True:
-        roots = components(links)
         at = members.join(roots, "node", "left").select("sign", "node", F.coalesce("root", "node").alias("root"))
         big = at.groupBy("sign", "root").agg(F.count("*").alias("n")).groupBy("sign").agg(F.max_by("root", F.struct("n", "root")).alias("big"), F.count("*").alias("kinds"))
         split = settle(at.join(big.where("kinds > 1").select("sign", "big"), "sign"))
+        turns = max(TURNS, ROUND // max(1, split.count()))
         fresh = split.where("root <> big").join(used, ["sign", "node"], "left_anti")
-        turn = fresh.withColumn("turn", F.row_number().over(Window.partitionBy("sign").orderBy("node"))).where(F.col("turn") <= TURNS)
+        turn = fresh.withColumn("turn", F.row_number().over(Window.partitionBy("sign").orderBy("node"))).where(F.col("turn") <= turns)
         lead = settle(turn.select("sign", F.col("node").alias("a"), F.col("root").alias("own")))
         if lead.isEmpty():
-            return links
+            return links, roots
         pairs = split.join(lead, "sign").where("root <> own").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-        links = settle(links.union(sets.links(pairs)))
+        new = sets.links(pairs)
         used = settle(used.union(lead.select("sign", F.col("a").alias("node"))))
+        if not new.isEmpty():
+            links = settle(links.union(new))
+            roots = components(links)
 
 
 def _rooted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -369,16 +442,18 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # a row is named by its id and text, so that repeated ids stay apart
     named = rows.select(F.xxhash64("id", "text").alias("row"), "id", "text")
-    described = settle(named.select("row", "text", "id").mapInArrow(_describe, f"row long, id {kind}, n long, node long, notes array<struct<scheme:int,cover:int,need:int>>"))
+    described = settle(named.select("row", "text", "id").mapInArrow(_describe, f"row long, id {kind}, n long, node long, sketch binary"))
     sent = rows.select("text").mapInArrow(_send(buckets), "kind int, bucket int, signs binary, nodes binary, keys binary, sizes binary")
-    place = F.when(F.col("kind") == 0, F.col("bucket").cast("long")).otherwise(-1 - F.pmod(F.xxhash64("signs"), F.lit(buckets)))
+    place = F.when(F.col("kind") == 0, F.col("bucket").cast("long")).otherwise(F.pmod(F.xxhash64("signs"), F.lit(buckets)) - F.col("kind") * buckets)
     met = settle(sent.withColumn("place", place).groupBy("place").applyInArrow(lambda t: _meet_or_pass(t), "kind int, a long, b long"))
+    tidy(docs.sparkSession)
     sets = _Sets(named, described)
     links = sets.links(met.where("kind = 0").select("a", "b"))
-    notes = described.select("node", F.explode("notes").alias("x")).select("node", "x.*").distinct()
+    note = met.where("kind = 2").select(F.col("a").alias("node"), "b").distinct()
+    notes = note.select("node", F.shiftright("b", 56).cast("int").alias("scheme"), (F.shiftright("b", 28).bitwiseAND((1 << 28) - 1)).alias("cover"), F.col("b").bitwiseAND((1 << 28) - 1).alias("need"))
     hot = met.where("kind = 1").select(F.col("a").alias("sign"), F.col("b").alias("node")).distinct()
-    links = _lead(_short_of_cover(hot, notes), links, sets)
-    return described.join(components(links), "node", "left").select("row", "id", "n", F.coalesce("root", "node").alias("root"))
+    _, roots = _lead(_short_of_cover(hot, notes), links, sets)
+    return described.join(roots, "node", "left").select("row", "id", "n", F.coalesce("root", "node").alias("root"))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -398,6 +473,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     own = settle(_rooted(docs, id_col, text_col))
     first = own.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("f")).select(F.col("f.row").alias(ROW))
-    stay = first.union(own.where("root is null").select("row")).distinct()
+    many = own.groupBy("row").count().where("count > 1").select(F.col("row").alias(ROW))
+    gone = own.where("root is not null").select(F.col("row").alias(ROW)).distinct().join(first, ROW, "left_anti")
     marked = docs.withColumn(ROW, F.xxhash64(F.col(id_col), F.col(text_col)))
-    return marked.join(stay, ROW).dropDuplicates([ROW]).drop(ROW)
+    many, gone = light(many), light(gone)
+    left = marked.join(gone, ROW, "left_anti")
+    if not many.isEmpty():  # of rows with one id and text one stays
+        again = left.join(many, ROW, "left_semi").dropDuplicates([ROW])
+        left = left.join(many, ROW, "left_anti").unionByName(again)
+    return left.drop(ROW)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,7 +33,33 @@ def settle(df: DataFrame, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled = path
+    return out
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete settled tables once all that was made from them is settled itself."""
+    for t in tables:
+        jvm, conf = t.sparkSession._jvm, t.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(t.settled)
+        path.getFileSystem(conf).delete(path, True)
+
+
+#: Rows of a few numbers (32 bytes at most) that may be broadcast; more go by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def light(df: DataFrame) -> DataFrame:
+    """A table of narrow rows, marked for broadcast if its counted size allows it."""
+    out = settle(df)
+    return F.broadcast(out) if out.count() <= BROADCAST_ROWS else out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
