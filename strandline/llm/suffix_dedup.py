@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import dealt, settle
+from .shared import dealt, release, settle, tidy
 from .textkit import SLICE, _ipw, _pw, mix, planes, ragged, slices, text_buffer, unplanes
 
 LENGTH = 200
@@ -247,7 +247,7 @@ def anchors(data: np.ndarray, off: np.ndarray):
 # -- blocks -----------------------------------------------------------------------
 def _freeze(batch: pa.RecordBatch) -> bytes:
     out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as w:
         w.write_batch(batch)
     return out.getvalue().to_pybytes()
 
@@ -423,6 +423,8 @@ def remove(docs: DataFrame, id_col: str, text_col: str, finish, fields: str, hot
     heads = blocks.where("bucket < 0")
     kinds = blocks.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _judge_anchors(t, hot), _SCHEMA)
     strings = settle(heads.union(kinds).groupBy("block").applyInArrow(_send_strings(text, buckets), _SCHEMA))
+    release(blocks)  # the strings' table has all that comes after
+    tidy(spark)
     masks = strings.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _judge_strings(t), _SCHEMA)
     return strings.where("bucket < 0").union(masks).groupBy("block").applyInArrow(lambda t: finish(*_removed(t, text)), fields)
 
