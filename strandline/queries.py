@@ -289,7 +289,15 @@ def fill_to_date(spark, sf):
 
 @query("select l_orderkey, l_extendedprice, sign(l_extendedprice) * pow(10, round_even(log10(l_extendedprice), 0)) * round_even(l_extendedprice / pow(10, round_even(log10(l_extendedprice), 0)), 1) as v from lineitem where l_orderkey % 10 = 0".replace("select l_orderkey, l_extendedprice, sign", "select l_orderkey, l_extendedprice, round(sign").replace(" as v from", ", 4) as v from"))
 def significant_digits(spark, sf):
-    t = read(spark, sf, "lineitem").where("l_orderkey % 10 = 0")
+    return _significant(read(spark, sf, "lineitem").where("l_orderkey % 10 = 0"))
+
+
+@query(ORACLE_SQL["significant_digits"].replace(" where l_orderkey % 10 = 0", ""))
+def significant_digits_whole(spark, sf):
+    return _significant(read(spark, sf, "lineitem"))
+
+
+def _significant(t):
     return t.select("l_orderkey", "l_extendedprice", F.round(fill.significant(F.col("l_extendedprice"), 1), 4).alias("v"))
 
 
@@ -500,9 +508,18 @@ def date_numbers(spark, sf):
 
 @query(f"select o_orderkey, unnest(list_transform(range(0, 4), lambda k: date_trunc('month', o_orderdate)::timestamp + to_months(k::int) + (day(o_orderdate) - 1) * interval 1 day)) as t from orders where o_orderkey % 20 = 0")
 def date_ranges(spark, sf):
+    return _ranges(_orders(spark, sf).where("o_orderkey % 20 = 0"))
+
+
+@query(ORACLE_SQL["date_ranges"].replace(" where o_orderkey % 20 = 0", ""))
+def date_ranges_whole(spark, sf):
+    return _ranges(_orders(spark, sf))
+
+
+def _ranges(orders):
     t = F.col("o_orderdate")
     made = dates.sequence(t, dates.overflow(t, 3), "1m")
-    return _orders(spark, sf).where("o_orderkey % 20 = 0").select("o_orderkey", F.explode(made).alias("t"))
+    return orders.select("o_orderkey", F.explode(made).alias("t"))
 
 
 @query("select o_orderkey, year(o_orderdate + interval 9 month)::int as y, month(o_orderdate + interval 9 month)::int as m from orders")
@@ -555,7 +572,15 @@ _EARLIER = "(date_trunc('month', b)::timestamp - to_months((n * 12)::int) + (day
 
 @query(f"with x as (select l_orderkey, l_linenumber, l_partkey, l_shipdate as a, timestamp '2004-02-29' as b from lineitem where l_orderkey % 50 = 0), y as (select *, year(b) - year(a) - ({_ANNIVERSARY} > b)::int as n from x) select l_orderkey, l_linenumber, l_partkey, n::int as whole, round(n + ({_EARLIER} - a::date) / 365.0, 8) as years from y")
 def tenor_years(spark, sf):
-    t = read(spark, sf, "lineitem").where("l_orderkey % 50 = 0")
+    return _tenors(read(spark, sf, "lineitem").where("l_orderkey % 50 = 0"))
+
+
+@query(ORACLE_SQL["tenor_years"].replace(" where l_orderkey % 50 = 0", ""))
+def tenor_years_whole(spark, sf):
+    return _tenors(read(spark, sf, "lineitem"))
+
+
+def _tenors(t):
     a, b = F.col("l_shipdate"), F.lit("2004-02-29").cast("timestamp_ntz")
     return t.select("l_orderkey", "l_linenumber", "l_partkey", tenor.years_between(a, b).alias("whole"), F.round(tenor.years_to_date(a, b), 8).alias("years"))
 
