@@ -8,8 +8,9 @@ the corpus are joined with hashes of the benchmark; around each hit the aligned
 tokens of document and item are compared, and a pair counts if some window of
 WINDOW aligned tokens has at least NEEDED equal ones.
 
-Items of 5 to 12 words need three quarters of their words, rounded up, and are
-found by the masks or, below the masks' span, by the hash of the whole item.
+Items of 5 to 12 words need three quarters of their words, rounded up.  Shorter
+masks of four positions are added for them, so that any such agreement shares a
+hash as well (checked for all cases of each length), whatever other items exist.
 Items of fewer than 5 words are no evidence and match nothing.
 
 The benchmark's hashes are broadcast only if their counted number is at most
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from .shared import light
 
 MASKS = ((0, 1, 3, 6, 7), (0, 1, 5, 7, 8), (0, 1, 4, 5, 6))
+#: Masks for items under WINDOW words, each with the most words of an item that it is for.
+SHORT_MASKS = {(0, 1, 2, 4): 12, (0, 2, 3, 4): 8, (0, 1, 2, 3): 5, (0, 1, 3, 4): 5}
 WINDOW, NEEDED = 13, 10
 LEAST_WORDS = 5
 #: Rows of benchmark hashes (24 bytes each and the item's tokens) that may be broadcast.
@@ -42,16 +45,21 @@ def tokens(text: str):
     return F.transform(words, lambda x: F.xxhash64(x))
 
 
-def _seeds(df: DataFrame, h: str, short: list[int]) -> DataFrame:
-    """``df`` with a row for each seed: where it begins (p) and its key."""
-    spans = [max(m) + 1 for m in MASKS]
-    last = min([*spans, *short])
+def masks_for(words: int) -> list[tuple[int, ...]]:
+    """The masks that find an item of so many words."""
+    return [*MASKS, *(m for m, most in SHORT_MASKS.items() if words <= most)]
+
+
+def _seeds(df: DataFrame, h: str, masks: list[tuple[int, ...]], of_items: bool = False) -> DataFrame:
+    """``df`` with a row for each seed: where it begins (p) and its key; items have those of their length alone."""
+    spans = [max(m) + 1 for m in masks]
+    last = min(spans)
     df = df.where(F.size(h) >= last).withColumn("p", F.explode(F.sequence(F.lit(0), F.size(h) - last)))
 
     at = lambda i: F.get(F.col(h), F.col("p") + i)  # noqa: E731  null beyond the end
     fits = lambda n: F.col("p") + n <= F.size(h)
-    keys = [F.when(fits(s), F.xxhash64(F.lit(k), *[at(i) for i in m])) for k, (m, s) in enumerate(zip(MASKS, spans, strict=True))]
-    keys += [F.when(fits(n), F.xxhash64(F.lit(-n), *[at(i) for i in range(n)])) for n in short]
+    meant = lambda m: F.size(h) <= SHORT_MASKS[m] if of_items and m in SHORT_MASKS else F.lit(True)
+    keys = [F.when(fits(s) & meant(m), F.xxhash64(F.lit(k), *[at(i) for i in m])) for k, (m, s) in enumerate(zip(masks, spans, strict=True))]
     return df.withColumn("key", F.explode(F.array(*keys)))
 
 
@@ -59,16 +67,15 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     """Verified overlaps: id, item, matched (equal tokens of the best window),
     total (equal tokens of that alignment at most), item_words."""
     bench = items.select(F.col(item_col).alias("item"), tokens(item_text).alias("ih")).where(F.size("ih") >= LEAST_WORDS)
-    small = min(max(m) + 1 for m in MASKS)
-    sizes = bench.select(F.size("ih").alias("n")).groupBy().agg(F.sum("n").alias("all"), F.collect_set(F.when(F.col("n") < small, F.col("n"))).alias("short")).first()
-    short = sorted(sizes["short"])
-    seeds = _seeds(bench, "ih", short).where("key is not null").select("key", "item", F.col("p").alias("q"), "ih")
-    # a key of a short item counts for items of that length alone
+    sizes = bench.select(F.size("ih").alias("n")).groupBy().agg(F.sum("n").alias("all"), F.min("n").alias("least")).first()
+    # only those that some item needs
+    masks = masks_for(sizes["least"] or WINDOW)
+    seeds = _seeds(bench, "ih", masks, of_items=True).where("key is not null").select("key", "item", F.col("p").alias("q"), "ih")
     seeds = seeds.dropDuplicates(["key", "item", "q"])
-    if (sizes["all"] or 0) * (len(MASKS) + len(short)) <= broadcast_rows:
+    if (sizes["all"] or 0) * len(masks) <= broadcast_rows:
         seeds = F.broadcast(seeds)
     rows = docs.select(F.col(id_col).alias("id"), tokens(text_col).alias("h"))
-    hits = _seeds(rows, "h", short).join(seeds, "key")
+    hits = _seeds(rows, "h", masks).join(seeds, "key")
     n, shift = F.size("ih"), F.col("p") - F.col("q")
     # the document's tokens beside the item's: from shift on, cut at the document's ends
     lead = F.greatest(-shift, F.lit(0))
