@@ -532,6 +532,8 @@ def year_month_overflow(spark, sf):
 HOLIDAYS = ("1998-01-01", "1998-04-10", "1998-05-01", "1998-12-25", "1998-12-31", "1999-01-01")
 _CAL = "with days as (select unnest(range(date '1990-01-01', date '2010-01-02', interval 1 day))::date as day), flags as (select day, isodow(day) < 6 and day not in (" + ", ".join(f"date '{h}'" for h in HOLIDAYS) + ") as b from days), cal as (select day, b, sum(b::int) over (order by day) - b::int as clock, min(case when b then day end) over (order by day rows between current row and unbounded following) as nxt, max(case when b then day end) over (order by day) as prv from flags), o as (select o_orderkey, o_orderdate::date as day from orders where year(o_orderdate) = 1998) "
 
+_IN_1998 = " where year(o_orderdate) = 1998"
+
 
 def _calendar(spark):
     return calendar(spark, "test", holidays=HOLIDAYS, first="1990-01-01", last="2010-01-01")
@@ -543,12 +545,30 @@ def _orders_1998(spark, sf):
 
 @query(_CAL + "select o_orderkey, c2.day::timestamp as added from o join cal using (day) join cal c1 on c1.day = case when month(cal.nxt) = month(cal.day) then cal.nxt else cal.prv end join cal c2 on c2.b and c2.clock = c1.clock + 5")
 def calendar_add(spark, sf):
-    return _calendar(spark).add(_orders_1998(spark, sf), "o_orderdate", 5).select("o_orderkey", "added")
+    return _added(spark, _orders_1998(spark, sf))
+
+
+@query(ORACLE_SQL["calendar_add"].replace(_IN_1998, ""))
+def calendar_add_whole(spark, sf):
+    return _added(spark, _orders(spark, sf))
+
+
+def _added(spark, orders):
+    return _calendar(spark).add(orders, "o_orderdate", 5).select("o_orderkey", "added")
 
 
 @query(_CAL + "select o_orderkey, nxt::timestamp as f, prv::timestamp as p, (case when month(nxt) = month(day) then nxt else prv end)::timestamp as m, b from o join cal using (day)")
 def calendar_adjust(spark, sf):
-    c, t = _calendar(spark), _orders_1998(spark, sf)
+    return _adjusted(spark, _orders_1998(spark, sf))
+
+
+@query(ORACLE_SQL["calendar_adjust"].replace(_IN_1998, ""))
+def calendar_adjust_whole(spark, sf):
+    return _adjusted(spark, _orders(spark, sf))
+
+
+def _adjusted(spark, t):
+    c = _calendar(spark)
     for rule in "fpm":
         t = c.adjust(t, "o_orderdate", rule, rule)
     return c.flag(t, "o_orderdate", "b").select("o_orderkey", "f", "p", "m", "b")
@@ -556,7 +576,16 @@ def calendar_adjust(spark, sf):
 
 @query(_CAL + "select o_orderkey, (c2.clock - (month(c2.nxt) <> month(c2.day))::int - cal.clock + (month(cal.nxt) <> month(cal.day))::int)::bigint as bdays from o join cal using (day) join cal c2 on c2.day = o.day + 30")
 def calendar_bdays(spark, sf):
-    t = _orders_1998(spark, sf).withColumn("later", dates.plus_days(F.col("o_orderdate"), 30))
+    return _bdays(spark, _orders_1998(spark, sf))
+
+
+@query(ORACLE_SQL["calendar_bdays"].replace(_IN_1998, ""))
+def calendar_bdays_whole(spark, sf):
+    return _bdays(spark, _orders(spark, sf))
+
+
+def _bdays(spark, orders):
+    t = orders.withColumn("later", dates.plus_days(F.col("o_orderdate"), 30))
     return _calendar(spark).bdays(t, "o_orderdate", "later").select("o_orderkey", "bdays")
 
 
