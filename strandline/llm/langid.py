@@ -7,9 +7,10 @@ elastic-net penalties; a temperature, fitted on rows kept aside, calibrates the
 probabilities.  A score is linear in the counts, so prediction is one table
 look-up per n-gram and a sum per text.
 
-The fit takes a bounded sample of labelled rows (``fit_rows``), chosen by a hash
-of the id; inverse document frequencies belong to the fit.  Prediction covers
-every row and every character.
+The weights are fitted on a bounded sample of labelled rows (``fit_rows``), chosen
+by language and by a hash of id and text, so that every language has rows in it.
+Document frequencies are counted over all labelled rows.  Prediction covers every
+row and every character.
 
 Behaviour on odd input: text that is null or has no letter gets ``und`` with
 score 0; without any labelled row everything is ``und``; ties between languages
@@ -160,37 +161,79 @@ def _features(batches):
         for i, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist(), strict=False)):
             u, c = np.unique(np.concatenate([s[a:b] for s in slots]), return_counts=True)
             keep = u < NOTHING
-            out.append((batch.column(0)[i].as_py(), u[keep].astype("<i4").tobytes(), (c[keep] / max(1, c[keep].sum())).astype("<f4").tobytes()))
+            out.append((batch.column(0)[i].as_py(), batch.column(2)[i].as_py(), u[keep].astype("<i4").tobytes(), (c[keep] / max(1, c[keep].sum())).astype("<f4").tobytes()))
         if out:
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*out, strict=True))), ["label", "slots", "tf"])
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*out, strict=True))), ["label", "h", "slots", "tf"])
 
 
-def sampled(df, rows: int, key):
-    """About ``rows`` rows at most, chosen by a hash of ``key``; exactly at most after the limit."""
-    n = df.count()
-    if n > rows:
-        share = rows / n
-        df = df.where((F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30))))
-    return df.limit(rows)
+def _frequencies(batches):
+    """Rows with each slot, and at NOTHING all rows; one count a task and slot."""
+    total, last = np.zeros(NOTHING + 1, np.int64), np.zeros(NOTHING + 1, np.int64)
+    for _, data, off in slices(batches, 0):
+        points, at = characters(data, off)
+        slots = list(grams(points, at))
+        for a, b in zip(at.tolist(), at[1:].tolist(), strict=False):
+            s = np.concatenate([x[a:b] for x in slots])
+            here = np.arange(len(s))
+            last[s] = here
+            once = s[last[s] == here]
+            total[once[once < NOTHING]] += 1
+            total[NOTHING] += 1
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["slot", "n"])
+
+
+def quotas(counts: dict, rows: int) -> dict:
+    """Rows of the sample by language: at least one, half of ``rows`` dealt evenly and the rest by size."""
+    if sum(counts.values()) <= rows:
+        return dict(counts)
+    even = {k: min(c, max(1, rows // (2 * len(counts)))) for k, c in counts.items()}
+    rest, free = max(0, rows - sum(even.values())), sum(counts.values()) - sum(even.values())
+    return {k: e + rest * (counts[k] - e) // max(1, free) for k, e in even.items()}
+
+
+def sampled(df, rows: int):
+    """The rows (label, text, h) of a sample, and how many of them each language may have.
+
+    About as many rows as the quota and a margin are below a language's limit, and its
+    least hash always is; repeated rows of an id come once."""
+    found = df.groupBy("label").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()
+    quota = quotas({r.label: r.n for r in found}, rows)
+    top = 1 << 30
+    below = lambda q, n: top if q >= n else int((q + 4 * q**0.5 + 8) / n * top)
+    limits = [(r.label, max(r.least, below(quota[r.label], r.n))) for r in found]
+    if not limits:
+        return df, quota
+    most = df.sparkSession.createDataFrame(limits, "label string, most long")
+    return df.join(F.broadcast(most), "label").where(F.col("h") <= F.col("most")).drop("most").dropDuplicates(["label", "h"]), quota
 
 
 def fit(df, label_col: str, text_col: str, key, fit_rows: int = FIT_ROWS, scale: float = 60.0) -> Model | None:
-    """Fit on a sample of at most ``fit_rows`` rows; None without any labelled text."""
-    known = df.where(F.col(label_col).isNotNull())
-    rows = sampled(known.select(key.alias("k"), F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text")), fit_rows, F.col("k"))
-    got = rows.where(F.col("text").isNotNull() & (F.length("text") > 0)).select("label", "text").mapInArrow(_features, "label string, slots binary, tf binary").collect()
-    if not got:
+    """Fit on a sample of at most ``fit_rows`` rows, or one a language; None without any labelled text."""
+    text = F.col(text_col)
+    known = df.where(F.col(label_col).isNotNull() & text.isNotNull() & (F.length(text) > 0))
+    known = known.select(F.col(label_col).cast("string").alias("label"), text.alias("text"), F.pmod(F.xxhash64(key, text, F.lit(11)), F.lit(1 << 30)).alias("h"))
+    rows, quota = sampled(known, fit_rows)
+    if not quota:
         return None
+    near = rows.select("label", "text", "h").mapInArrow(_features, "label string, h long, slots binary, tf binary").collect()
+    left, got = dict(quota), []
+    for r in sorted(near, key=lambda r: (r.h, r.label, bytes(r.slots), bytes(r.tf))):
+        if left[r.label] > 0:
+            left[r.label] -= 1
+            got.append(r)
     got = sorted((r.label, bytes(r.slots), bytes(r.tf)) for r in got)
     languages = sorted({r[0] for r in got})
     data = [(languages.index(a), np.frombuffer(s, "<i4"), np.frombuffer(t, "<f4").astype(float)) for a, s, t in got]
     df_count = np.zeros(NOTHING + 1)
-    for _, at, _ in data:
-        df_count[at] += 1
-    idf = np.log((1 + len(data)) / (1 + df_count)) + 1
+    for r in known.select("text").mapInArrow(_frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        df_count[r.slot] = r.n
+    idf = np.log((1 + df_count[NOTHING]) / (1 + df_count)) + 1
     data = [(y, at, x * idf[at] * scale) for y, at, x in data]
-    held = data[::5] if len(data) >= 50 else data
-    train = [r for i, r in enumerate(data) if i % 5] if len(data) >= 50 else data
+    # every fifth row is kept aside, but never the first of a language
+    aside = {i for i in range(0, len(data), 5) if i and data[i][0] == data[i - 1][0]} if len(data) >= 50 else set()
+    held = [data[i] for i in sorted(aside)] or data
+    train = [r for i, r in enumerate(data) if i not in aside]
     w, b = fit_ftrl(train, len(languages))
     table = (w * idf[:, None] * scale).astype(np.float32)
     table[NOTHING] = 0
