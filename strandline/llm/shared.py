@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +18,13 @@ CHECKPOINT = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder name below the shared folder that the cluster names.
 
-    The setting is read from the session.  Only where it is unset (tests on one
-    machine) is a temporary folder made and set.
+    The setting is read from the session.  Where it is unset, a session on one
+    machine (as in tests) gets a temporary folder; a cluster gets an error.
     """
     base = spark.conf.get(CHECKPOINT, None) or spark.sparkContext.getConf().get(CHECKPOINT)
     if not base:
+        if not (spark.sparkContext.master or "").startswith(("local[", "local:")) and spark.sparkContext.master != "local":
+            raise ValueError(f"{CHECKPOINT} must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="strandline-")
         spark.conf.set(CHECKPOINT, base)
     return f"{base.rstrip('/')}/strandline-{uuid.uuid4().hex}"
@@ -38,6 +43,40 @@ def settle(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def trim() -> None:
+    """Give freed memory of this Python worker back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run):
+    """A function of batches that leaves its worker small when a task ends.
+
+    Workers serve one task after the other, so what one task leaves in the heap
+    counts against the executor during all that follow.
+    """
+
+    @functools.wraps(run)
+    def out(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return out
+
+
+def unused(columns, base: str) -> str:
+    """A column name that none of ``columns`` has."""
+    have = {c.lower() for c in columns}
+    while base.lower() in have:
+        base += "_"
+    return base
+
+
 def tidy(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that nothing refers to any more."""
     gc.collect()

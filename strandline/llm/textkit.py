@@ -12,7 +12,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes worked on at a time; bounds the 8-byte temporaries of the kernels.
-SLICE = 1 << 20
+SLICE = 1 << 18
+#: Bytes of a word that have a weight of their own; longer words are chained.
+REACH = 1 << 12
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -48,9 +50,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
-_VALUE = mix(np.arange(256, dtype=_U) + _U(0x5151)) | _U(1)
+_VALUE = mix(np.arange(256, dtype=_U) + _U(0x5151))
 _VALUE[65:91] = _VALUE[97:123]  # A-Z hash as a-z
 _VALUE[SPACE] = 0
+#: Weights of the places in a word: unrelated numbers, as powers of one base would
+#: give equal sums to words of regular build.
+_WEIGHT = mix(np.arange(REACH, dtype=_U) + _U(0x9D3F)) | _U(1)
 
 
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
@@ -98,28 +103,36 @@ def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.diff(np.searchsorted(starts, off))
 
 
+def _long_hash(part: np.ndarray) -> np.ndarray:
+    """Hash of one word of more than REACH bytes: its pieces' sums, chained."""
+    h = np.zeros(1, _U)
+    with np.errstate(over="ignore"):
+        for a in range(0, len(part), REACH):
+            vals = _VALUE[part[a : a + REACH]]
+            h = mix(h ^ (vals * _WEIGHT[: len(vals)]).sum())
+    return h[0]
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the words with A-Z lower-cased; SLICE bytes at a time."""
     out = np.empty(len(starts), _U)
+    size = ends - starts
     at = 0
     with np.errstate(over="ignore"):
         while at < len(starts):
             s0 = starts[at]
             to = max(at + 1, int(np.searchsorted(ends, s0 + SLICE, "right")))
-            if ends[to - 1] - s0 > SLICE:  # one word longer than a slice
-                h = _U(0)
-                for a in range(s0, ends[at], SLICE):
-                    part = _VALUE[data[a : min(a + SLICE, ends[at])]]
-                    h = mix(np.array([h * _U(_BASE) + (part * _pw[: len(part)]).sum()], _U))[0]
-                out[at] = h
-                to = at + 1
-            else:
+            rel = starts[at:to] - s0
+            if ends[to - 1] - s0 <= SLICE:
                 vals = _VALUE[data[s0 : ends[to - 1]]]
-                vals *= _pw[: len(vals)]
-                rel = starts[at:to] - s0
-                out[at:to] = np.add.reduceat(vals, rel) * _ipw[rel]
+                place = np.arange(len(vals), dtype=np.int64)
+                place -= np.repeat(rel, np.diff(np.append(rel, len(vals))))
+                vals *= _WEIGHT[place & (REACH - 1)]
+                out[at:to] = np.add.reduceat(vals, rel)
             at = to
-        return mix(out ^ ((ends - starts).astype(_U) << _U(1)))
+        for i in np.flatnonzero(size > REACH).tolist():
+            out[i] = _long_hash(data[starts[i] : ends[i]])
+        return mix(out ^ (size.astype(_U) << _U(1)))
 
 
 def ragged(lengths: np.ndarray, begins: np.ndarray) -> np.ndarray:
