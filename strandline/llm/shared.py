@@ -9,7 +9,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT = "spark.checkpoint.dir"
@@ -101,6 +101,27 @@ def light(df: DataFrame) -> DataFrame:
     return F.broadcast(out) if out.count() <= BROADCAST_ROWS else out
 
 
+def row_name(id_col, text_col) -> Column:
+    """128 bits that name a row by its id and text, so that repeated ids stay apart."""
+    return F.concat(F.hex(F.xxhash64(id_col, text_col)), F.hex(F.xxhash64(text_col, id_col)))
+
+
+#: Rows of a key, as a share of all, from which the key is joined by broadcast: at most 1,024 keys.
+SHARE = 1024
+
+
+def onto(rows: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """Left join of ``one`` row a key onto rows of which a few keys, or null, may hold most."""
+    total = rows.count()
+    heavy = settle(rows.groupBy(key).agg(F.count("*").alias("rows_of")).where(F.col("rows_of") > total / SHARE).select(key))
+    mark = unused([*rows.columns, *one.columns], "is_heavy")
+    wide = rows.where(F.col(key).isNotNull()).join(F.broadcast(heavy.withColumn(mark, F.lit(True))), key, "left")
+    hot = wide.where(mark).drop(mark).join(F.broadcast(one.join(F.broadcast(heavy), key, "left_semi")), key, "left")
+    cold = wide.where(F.col(mark).isNull()).drop(mark).join(one, key, "left")
+    none = rows.where(F.col(key).isNull()).select(*rows.columns, *[F.lit(None).cast(t).alias(c) for c, t in one.dtypes if c != key])
+    return hot.unionByName(cold).unionByName(none)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -113,3 +134,13 @@ def crc_of_id(id_col: str = "doc_id"):
 def dealt(spark: SparkSession, least: int = 1) -> int:
     """Number of parts for a hash exchange: what the session sets."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Bytes of text for each bucket of a whole-bucket step: what such a task holds does not grow with the table.
+BUCKET = 32 << 20
+
+
+def cuts_of(docs: DataFrame, text_col: str) -> int:
+    """Number of buckets for what is made from the texts of a table."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return dealt(docs.sparkSession, size // BUCKET)

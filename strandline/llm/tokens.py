@@ -17,21 +17,23 @@ only the names that the driver hears of are read, so a lost executor or a
 speculative copy never leaves a half-written shard in use.
 
 Behaviour on odd input: a null or empty text has the end id alone; rows stand in
-ascending order of id, null ids first, rows of one id by text; an empty table
-has no shard; other columns are ignored.
+ascending order of id, null ids first, rows of one id by text; ids that are not
+integers are an error; an empty table has no shard; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
+import os
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql import functions as F
 
-from .bpe import ChunkCache, WordBpe, by_pieces, byte_symbols, encode_rows
-from .shared import dealt, shared_dir
+from .shared import dealt, lean, shared_dir
 from .textkit import ragged, slices
 
 MAGIC = b"SLTOK1\0\0"
@@ -138,33 +140,26 @@ class Reader:
         return self.tokens(int(self.starts[i]), int(self.starts[i + 1]))
 
 
-_state: dict[str, tuple] = {}
+#: Bytes of text that the library gets at a time (a longer text alone).
+PART = 1 << 20
 
 
+@functools.cache
 def _library(path: str):
-    """The library's tokenizer with a cache by chunk; kept between tasks.
+    """The library's tokenizer on one thread, without truncation and padding."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-    Chunks are cut and normalised as the tokenizer file says; each new word goes
-    through the library's model.  Texts that may hold special tokens go through
-    the library whole.
-    """
-    if path not in _state:
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
-        signs, model = byte_symbols(), tok.model
-        table = {i: c for i, c in enumerate(signs)}
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    return tok
 
-        def merge(words: list[bytes]):
-            out = [[t.id for t in model.tokenize(w.decode("latin-1").translate(table))] for w in words]
-            n = np.fromiter(map(len, out), np.int64, len(out))
-            return np.fromiter((x for o in out for x in o), np.int32, int(n.sum())), n
 
-        cut = WordBpe(path)
-        _state[path] = (tok, ChunkCache(lambda chunks: by_pieces(cut, chunks, merge)), lambda text: tok.encode(text, add_special_tokens=False).ids)
-    return _state[path]
+def encode_whole(tok, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of whole texts in one array, and their number by text."""
+    found = [np.array(e.ids, np.int64) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    return np.concatenate([np.empty(0, np.int64), *found]), np.fromiter(map(len, found), np.int64, len(found))
 
 
 def write(df, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", out_uri: str | None = None):
@@ -174,6 +169,8 @@ def write(df, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "t
     n_tokens.  The driver gets one such row for each shard.
     """
     spark = df.sparkSession
+    if dict(df.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} must hold integers, as shards store them")
     folder = out_uri or shared_dir(spark)
     store, base = place(folder)
     store.create_dir(base, recursive=True)
@@ -181,13 +178,13 @@ def write(df, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "t
     def run(batches):
         from pyspark import TaskContext
 
-        tok, cache, whole = _library(path)
+        tok = _library(path)
         out = None
-        for batch, data, off in slices(batches, 1):
+        for batch, _, _ in slices(batches, 1, PART):
             if out is None:
                 name = f"{folder}/shard-{TaskContext.get().partitionId():07d}-{uuid.uuid4().hex}.tok"
                 out = Writer(name, width(tok.get_vocab_size()))
-            ids, n = encode_rows(cache, whole, data, off)
+            ids, n = encode_whole(tok, [x or "" for x in batch.column(1).to_pylist()])
             full = np.full(len(ids) + len(n), end_id, np.int64)
             begins = np.cumsum(n) - n
             full[ragged(n, begins + np.arange(len(n)))] = ids
@@ -199,8 +196,9 @@ def write(df, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "path": [name], "n_docs": [docs], "n_tokens": [tokens]})
 
     rows = df.selectExpr(f"cast(`{id_col}` as bigint) as id", f"`{text_col}` as text")
-    rows = rows.repartitionByRange(dealt(spark), "id").sortWithinPartitions("id", "text")
-    shards = sorted(rows.mapInArrow(run, "part long, path string, n_docs long, n_tokens long").collect())
+    rows = rows.withColumn("head", F.substring("text", 1, 32))  # rows of one id, or without, need not meet in one task
+    rows = rows.repartitionByRange(dealt(spark), "id", "head").sortWithinPartitions("id", "text")
+    shards = sorted(rows.mapInArrow(lean(run), "part long, path string, n_docs long, n_tokens long").collect())
     out, base_ids = [], 0
     for s in shards:
         out.append((s.path, base_ids, s.n_docs, s.n_tokens))
@@ -230,7 +228,7 @@ def read(shards, per_doc, fields: str, step: int = 1 << 20):
 
     schema = f"doc_id long, start long, n_tokens long, {fields}"
     names = [f.strip().split()[0] for f in schema.split(",")]
-    return shards.mapInArrow(run, schema)
+    return shards.mapInArrow(lean(run), schema)
 
 
 def crc_of_ids(ids: np.ndarray) -> tuple[int]:
