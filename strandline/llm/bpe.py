@@ -9,7 +9,8 @@ time.  It ends when the root says that nothing can be merged.
 Many words run side by side: the trees of all words of one width form a matrix,
 and a step takes the root of each, merges and updates with array operations.
 
-Words of a text are cached by hash, so that a frequent word is merged once.
+Words of a text are cached by hash, so that a frequent word is merged once; every
+hit is compared by its bytes, and the cache is bounded in entries, bytes and ids.
 
 Behaviour on odd input: a null or empty text has no ids and decodes to the
 empty text; ids of special tokens are emitted where their strings stand in the
@@ -26,14 +27,18 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-from .textkit import SPACE, ragged, slices, word_hashes
+from .shared import lean
+from .textkit import SLICE, SPACE, ragged, slices, word_hashes
 
 #: Characters that end a chunk: Unicode's White_Space.
 _WHITE = regex.compile(r"\p{White_Space}+")
 _INF = np.int64(1) << 62
 _POS = 32
-#: Chunks in the cache of a worker before it is emptied; bounds its memory to about 120 MB.
-CACHE_WORDS = 1_500_000
+#: Chunks, their bytes and their ids in the cache of a worker before it is emptied; with
+#: the longest chunk that is kept they bound its memory to about 100 MB.
+CACHE_WORDS, CACHE_BYTES, CACHE_IDS = 800_000, 12 << 20, 4 << 20
+#: Bytes of a chunk beyond which it is not kept.
+KEPT = 256
 #: Chunks in the cache's young part, a dict, before they move to sorted arrays.
 YOUNG = 100_000
 #: Words at least this long run alone (a matrix of trees would be mostly empty).
@@ -280,11 +285,14 @@ def chunk_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, np.flatnonzero(edge), np.diff(np.searchsorted(starts, off))
 
 
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+
+
 class ChunkCache:
-    """Ids of the chunks of texts, by the chunk's hash.
+    """Ids of the chunks of texts, found by the chunk's hash and checked by its bytes.
 
-    ``encode_new`` maps a list of chunks (text) to (ids, counts).  The cache is
-    emptied when it holds CACHE_WORDS chunks, so a worker's memory is bounded.
+    ``encode_new`` maps a list of chunks (text) to (ids, counts).
     """
 
     def __init__(self, encode_new):
@@ -294,17 +302,18 @@ class ChunkCache:
     def clear(self) -> None:
         self.young: dict[int, int] = {}
         self.old, self.old_at = np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.flat = np.empty(1 << 16, np.int32)
-        self.used = self.have = 0
-        self.begin = np.zeros(1 << 14, np.int64)
-        self.count = np.zeros(1 << 14, np.int64)
+        self.flat, self.raw = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.uint8)
+        self.used = self.have = self.filled = 0
+        self.begin, self.count, self.raw_at, self.size = (np.zeros(1 << 14, np.int64) for _ in range(4))
 
     def lookup(self, data: np.ndarray, starts, ends) -> np.ndarray:
         """The cache's index of each chunk."""
         import pandas as pd
 
-        codes, uniques = pd.factorize(word_hashes(data, starts, ends))
-        if self.have + len(uniques) > CACHE_WORDS and self.have:
+        size = ends - starts
+        keep = np.flatnonzero(size <= KEPT)
+        codes, uniques = pd.factorize(word_hashes(data, starts, ends)[keep])
+        if self.have + len(uniques) > CACHE_WORDS or self.filled > CACHE_BYTES or self.used > CACHE_IDS:
             self.clear()
         at = np.full(len(uniques), -1, np.int64)
         if len(self.old):
@@ -314,27 +323,57 @@ class ChunkCache:
             rest, get = np.flatnonzero(at < 0), self.young.get
             at[rest] = [get(h, -1) for h in uniques[rest].tolist()]
         new = np.flatnonzero(at < 0)
+        low = _FOLD[data]
         if len(new):
             where = np.empty(len(uniques), np.int64)
-            where[codes[::-1]] = np.arange(len(codes))[::-1]  # the first place of each
-            raw, s, e = data.tobytes(), starts[where[new]].tolist(), ends[where[new]].tolist()
-            ids, n = self.encode_new([raw[a:b].decode("utf-8", "replace") for a, b in zip(s, e, strict=True)])
-            self._add(uniques[new], ids, n)
-            at[new] = np.arange(self.have - len(new), self.have)
-        return at[codes]
-
-    def _add(self, hashes, ids, n) -> None:
-        have, now = self.have, self.have + len(hashes)
+            where[codes[::-1]] = keep[::-1]  # the first place of each
+            at[new] = self._add(data, low, starts[where[new]], size[where[new]])
+            self._name(uniques[new], at[new])
+        out = np.empty(len(starts), np.int64)
+        out[keep] = at[codes]
+        other = np.concatenate([np.flatnonzero(size > KEPT), keep[~self._same(low, starts[keep], size[keep], out[keep])]])
+        if len(other):  # too long to keep, or another chunk of the same hash
+            out[other] = self._add(data, low[:0], starts[other], size[other])
+        return out
+
+    def _same(self, low, starts, size, at) -> np.ndarray:
+        """Which chunks have the bytes of the entries."""
+        same = size == self.size[at]
+        total = np.cumsum(size)
+        i = 0
+        while i < len(size):
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + SLICE, "right")))
+            n = np.where(same[i:j], size[i:j], 0)
+            full = np.flatnonzero(n)
+            if len(full):
+                n = n[full]
+                equal = low[ragged(n, starts[i:j][full])] == self.raw[ragged(n, self.raw_at[at[i:j][full]])]
+                same[i + full] &= np.logical_and.reduceat(equal, np.cumsum(n) - n)
+            i = j
+        return same
+
+    def _add(self, data, low, starts, size) -> np.ndarray:
+        """New entries for chunks; without ``low`` their bytes are not kept."""
+        raw = data.tobytes()
+        ids, n = self.encode_new([raw[a : a + k].decode("utf-8", "replace") for a, k in zip(starts.tolist(), size.tolist(), strict=True)])
+        have, now = self.have, self.have + len(starts)
+        keep = size if len(low) else np.zeros(len(size), np.int64)
+        own = low[ragged(keep, starts)]
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while self.filled + len(own) > len(self.raw):
+            self.raw = np.concatenate([self.raw, np.empty_like(self.raw)])
         while now > len(self.begin):
-            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-            self.count = np.concatenate([self.count, np.zeros_like(self.count)])
+            self.begin, self.count, self.raw_at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count, self.raw_at, self.size))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.count[have:now] = n
-        self.begin[have:now] = self.used + np.cumsum(n) - n
-        self.used, self.have = self.used + len(ids), now
-        self.young.update(zip(hashes.tolist(), range(have, now), strict=True))
+        self.raw[self.filled : self.filled + len(own)] = own
+        self.count[have:now], self.begin[have:now] = n, self.used + np.cumsum(n) - n
+        self.size[have:now], self.raw_at[have:now] = keep, self.filled + np.cumsum(keep) - keep
+        self.used, self.have, self.filled = self.used + len(ids), now, self.filled + len(own)
+        return np.arange(have, now)
+
+    def _name(self, hashes, at) -> None:
+        self.young.update(zip(hashes.tolist(), at.tolist(), strict=True))
         if len(self.young) > YOUNG:
             keys = np.concatenate([self.old, np.fromiter(self.young, np.uint64, len(self.young))])
             order = np.argsort(keys, kind="stable")
@@ -412,12 +451,12 @@ def encode(df, path: str, id_col: str = "doc_id", text_col: str = "text"):
 
     def run(batches):
         bpe, cache, _ = _codec(path)
-        for batch, data, off in slices(batches, 1):
+        for batch, data, off in slices(batches, 1, 1 << 20):
             ids, n = encode_rows(cache, bpe.encode_text, data, off)
             offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids))], ["id", "ids"])
 
-    out = df.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text").mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, ids array<int>")
+    out = df.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text").mapInArrow(lean(run), f"id {dict(df.dtypes)[id_col]}, ids array<int>")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -438,7 +477,7 @@ def digests(df, path: str, id_col: str = "doc_id", text_col: str = "text", with_
 
     def run(batches):
         bpe, cache, names = _codec(path)
-        for batch, data, off in slices(batches, 1, 2 << 20):
+        for batch, data, off in slices(batches, 1, 1 << 20):
             ids, n = encode_rows(cache, bpe.encode_text, data, off)
             raw, tokens = memoryview(ids.astype("<u4").tobytes()), names[ids].tolist()
             at = np.concatenate([[0], np.cumsum(n)]).tolist()
@@ -449,5 +488,5 @@ def digests(df, path: str, id_col: str = "doc_id", text_col: str = "text", with_
 
     names_out = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
     schema = f"id {dict(df.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    out = df.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text").mapInArrow(run, schema)
+    out = df.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text").mapInArrow(lean(run), schema)
     return out.withColumnRenamed("id", id_col)
