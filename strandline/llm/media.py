@@ -1,7 +1,8 @@
 """Media columns: Netpbm and BMP to numpy, area resize, NPY tiles, difference hashes.
 
 Media are bytes in a binary column.  ``decode_image`` reads Netpbm (P1 to P6) and
-uncompressed BMP (8, 24, 32 bits).  ``area_resize`` averages each target cell
+uncompressed BMP (8, 24, 32 bits); samples of
+another maximum than 255 or 65,535 are scaled to it.  ``area_resize`` averages each target cell
 over the exact area that it covers, by an integral image that is built from a
 bounded number of rows at a time.  ``tiles`` writes the resized image as NPY
 bytes with its difference hash.  ``store_texts`` keeps any text losslessly as an
@@ -22,7 +23,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-from .shared import settle
+from .shared import lean, settle
 from .textkit import slices
 
 #: Pixels in a row of an image that keeps a text; three bytes each.
@@ -67,10 +68,18 @@ def decode_netpbm(raw: bytes) -> np.ndarray:
         flat = np.array(raw[at - 1 :].split()[:n], np.int64)
         if len(flat) != n:
             raise ValueError("netpbm raster is short")
-        return flat.astype(np.uint16 if wide else np.uint8).reshape(h, w, channels)
+        return _scaled(flat, top[0], wide).reshape(h, w, channels)
     if len(raw) - at < n * (1 + wide):
         raise ValueError("netpbm raster is short")
-    return np.frombuffer(raw, ">u2" if wide else np.uint8, n, at).astype(np.uint16 if wide else np.uint8, copy=False).reshape(h, w, channels)
+    return _scaled(np.frombuffer(raw, ">u2" if wide else np.uint8, n, at), top[0], wide).reshape(h, w, channels)
+
+
+def _scaled(flat: np.ndarray, top: int, wide: bool) -> np.ndarray:
+    """Samples of 0 to ``top`` as whole 8- or 16-bit values."""
+    full, kind = (65535, np.uint16) if wide else (255, np.uint8)
+    if not 0 < top <= full or (len(flat) and (flat.max() > top or flat.min() < 0)):
+        raise ValueError("netpbm sample")
+    return flat.astype(kind, copy=False) if top == full else np.rint(flat * (full / top)).astype(kind)
 
 
 def decode_bmp(raw: bytes) -> np.ndarray:
@@ -81,6 +90,8 @@ def decode_bmp(raw: bytes) -> np.ndarray:
     at, head, w, h, bits, packing = number(10, 4), number(14, 4), number(18, 4, True), number(22, 4, True), number(28, 2), number(30, 4)
     if packing not in (0, 3) or bits not in (8, 24, 32):
         raise ValueError("bitmap of an unknown kind")
+    if packing == 3 and (bits != 32 or [number(k, 4) for k in (54, 58, 62)] != [0xFF0000, 0xFF00, 0xFF]):
+        raise ValueError("bitmap with other masks than those of plain colours")
     stride = (w * bits // 8 + 3) // 4 * 4
     rows = np.frombuffer(raw, np.uint8, stride * abs(h), at).reshape(abs(h), stride)[:, : w * bits // 8]
     rows = rows[::-1] if h > 0 else rows
@@ -91,7 +102,10 @@ def decode_bmp(raw: bytes) -> np.ndarray:
 
 
 def decode_image(raw: bytes) -> np.ndarray:
-    return decode_bmp(raw) if raw[:2] == b"BM" else decode_netpbm(raw)
+    try:
+        return decode_bmp(raw) if raw[:2] == b"BM" else decode_netpbm(raw)
+    except (IndexError, OverflowError, MemoryError) as e:
+        raise ValueError("broken image") from e
 
 
 def _cuts(n: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,40 +193,36 @@ def pad(n: int, unit: int = UNIT) -> int:
 
 
 def store_texts(df, id_col: str = "doc_id", text_col: str = "text"):
-    """Each text as a Netpbm image: id column, n_bytes, media, tile (NPY) and dhash.
+    """Each text as a Netpbm image: id column, n_bytes and media.
 
     The table is written to the shared folder; what is returned reads it back.
     """
 
     def run(batches):
         for batch, data, off in slices(batches, 1):
-            out, tile_bytes, hashes = [], [], []
-            for a, b in zip(off.tolist(), off[1:].tolist(), strict=False):
-                out.append(encode_ppm(data[a:b].tobytes().ljust(pad(b - a), b" ")))
-                image = decode_netpbm(out[-1])
-                tile_bytes.append(tile(image))
-                hashes.append(difference_hash(image))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(out, pa.binary()), pa.array(tile_bytes, pa.binary()), pa.array(hashes)], ["id", "n_bytes", "media", "tile", "dhash"])
+            out = [encode_ppm(data[a:b].tobytes().ljust(pad(b - a), b" ")) for a, b in zip(off.tolist(), off[1:].tolist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(out, pa.binary())], ["id", "n_bytes", "media"])
 
     kind = dict(df.dtypes)[id_col]
     rows = df.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text")
-    return settle(rows.mapInArrow(run, f"id {kind}, n_bytes long, media binary, tile binary, dhash string")).withColumnRenamed("id", id_col)
+    return settle(rows.mapInArrow(lean(run), f"id {kind}, n_bytes long, media binary")).withColumnRenamed("id", id_col)
 
 
 def text_digests(stored, id_col: str = "doc_id"):
-    """What the stored images hold, decoded from their bytes, with their features."""
+    """What the stored images hold, decoded from their bytes, with the features of what was decoded."""
 
     def run(batches):
         for batch in batches:
             rows = []
-            for raw, mark, small in zip(batch.column(2), batch.column(4), batch.column(3), strict=True):
+            for raw in batch.column(2):
                 media = raw.as_buffer()
-                payload = decode_netpbm(media.to_pybytes()).tobytes()
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), media.size, hashlib.sha256(media).hexdigest(), mark.as_py(), hashlib.sha256(small.as_buffer()).hexdigest()))
+                image = decode_netpbm(media.to_pybytes())
+                payload = image.tobytes()
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), media.size, hashlib.sha256(media).hexdigest(), difference_hash(image), hashlib.sha256(tile(image)).hexdigest()))
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, zip(*rows, strict=True))], names)
 
     names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_sha256"]
     kind = dict(stored.dtypes)[id_col]
-    out = stored.selectExpr(f"`{id_col}` as id", "n_bytes", "media", "tile", "dhash")
-    return out.mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string").withColumnRenamed("id", id_col)
+    out = stored.selectExpr(f"`{id_col}` as id", "n_bytes", "media")
+    return out.mapInArrow(lean(run), f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string").withColumnRenamed("id", id_col)
