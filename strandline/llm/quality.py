@@ -6,13 +6,15 @@ is two neighbouring half chunks, so chunks overlap by half and cover the whole
 text; its filters are max-pooled and averaged and give one logit.  The mean,
 largest and smallest chunk logits of a text give its probability.
 
-The fit takes chunks of a bounded number of labelled texts (``fit_rows`` for each
-label), chosen by a hash of the id.  Scoring covers every byte of every row.
+The fit takes all chunks of a bounded sample of labelled texts: of each label up to
+``fit_rows`` whole texts of together ``fit_bytes``, in order of a hash of the id.
+Each text weighs the same.  Scoring covers every byte of every row.
 
 Behaviour on odd input: a null or empty text is scored as one blank chunk;
 without labels of both kinds every score is the share of label 1, or 0.5 without
 any; labels other than 0 and 1 and repeated labels of an id are ignored (the
-largest counts); equal texts give equal scores; other columns are ignored.
+largest counts), as are other rows of an id in the fit than that of the least hash;
+equal texts give equal scores; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,12 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from .shared import lean, settle
 from .textkit import slices
 
-#: Labelled texts of each label that the fit may see at most.
-FIT_ROWS = 1200
-#: Chunks taken from one of these texts.
-FIT_CHUNKS = 4
+#: Labelled texts of each label that the fit may see at most, and their bytes (all of a text or none).
+FIT_ROWS, FIT_BYTES = 800, 3 << 20
 STRIDE, EMBED, FILTERS = 8, 8, 32
 HALF = 256
 WINDOWS = HALF // STRIDE
@@ -169,46 +170,66 @@ def fit_head(net: Net, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Net:
 
 
 def _chunks_of(batches):
-    """A few chunks of each text, spread evenly over it."""
-    for batch, data, off in slices(batches, 0):
+    """All chunks of each text, and the share of the text in each."""
+    for batch, data, off in slices(batches, 0, 1 << 20):
         raw, first = halves(data, off)
         many = np.diff(np.append(first, len(raw)))
-        out, labels = [], []
+        out, labels, share = [], [], []
         for f, m, label in zip(first.tolist(), many.tolist(), batch.column(1).to_pylist(), strict=True):
-            for at in np.unique(np.linspace(0, max(0, m - 2), FIT_CHUNKS).astype(int)):
-                out.append(raw[f + at].tobytes() + raw[f + min(at + 1, m - 1)].tobytes())
-                labels.append(label)
+            own = range(max(1, m - 1))
+            out += [raw[f + at].tobytes() + raw[f + min(at + 1, m - 1)].tobytes() for at in own]
+            labels += [label] * len(own)
+            share += [1 / len(own)] * len(own)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(labels, pa.int32())], ["chunk", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(labels, pa.int32()), pa.array(share)], ["chunk", "label", "share"])
 
 
-def fit(docs, labels, train, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> Net | float:
+def sample(docs, known, id_col: str, text_col: str, fit_rows: int, fit_bytes: int):
+    """Columns id, text, label of the sample: one row an id, whatever the partitions.
+
+    Only hashes and sizes of a few more than 2 * ``fit_rows`` rows reach the driver.
+    """
+    spark, top = docs.sparkSession, 1 << 30
+    count = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    margin = fit_rows + 8 * int(fit_rows**0.5) + 16
+    below = F.lit(0)
+    for k, n in count.items():
+        below = F.when(F.col("label") == k, top if margin >= n else int(margin / n * top)).otherwise(below)
+    near = known.withColumn("h", F.pmod(F.xxhash64("id", F.lit(23)), F.lit(top))).where(F.col("h") <= below)
+    near = spark.createDataFrame(sorted(map(tuple, near.collect())), near.schema)  # a stable pick, sent back
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(near), "id")
+    texts = texts.groupBy("id", "label", "h").agg(F.min(F.struct(F.xxhash64("text").alias("k"), F.col("text"))).alias("x")).select("id", "label", "h", F.col("x.text").alias("text"))
+    texts = settle(texts)
+    picks, used = [], {}
+    for r in sorted(texts.select("id", "label", "h", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).collect(), key=lambda r: (r.h, str(r.id))):
+        rows, size = used.get(r.label, (0, 0))
+        if rows < fit_rows and (size + r.size <= fit_bytes or not rows):
+            used[r.label] = rows + 1, size + r.size
+            picks.append((r.id,))
+    return texts.join(F.broadcast(spark.createDataFrame(picks, texts.select("id").schema)), "id", "left_semi").select("id", "text", "label")
+
+
+def fit(docs, labels, train, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Net | float:
     """A net, or a constant score where there are not two kinds of labels.
 
     ``train`` is a condition on the id column of the labels.
     """
-    spark = docs.sparkSession
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & train).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     count = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(count) < 2:
         return float(max(count, default=0.5))
-    mark = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1 << 30))
-    picks = [known.where((F.col("label") == k) & (mark < int(min(1, fit_rows / count[k]) * (1 << 30)))).limit(fit_rows) for k in (0, 1)]
-    ids = picks[0].union(picks[1])  # at most 2 * fit_rows rows
-    # a stable pick: collected once (2 * fit_rows rows) and sent back
-    ids = spark.createDataFrame(sorted(map(tuple, ids.collect())), ids.schema)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").select("text", "label")
-    got = texts.mapInArrow(_chunks_of, "chunk binary, label int").toArrow()
+    texts = sample(docs, known, id_col, text_col, fit_rows, fit_bytes).select("text", "label")
+    got = texts.mapInArrow(_chunks_of, "chunk binary, label int, share double").toArrow()
     if not got.num_rows or len(set(got["label"].to_pylist())) < 2:
         return float(count[1] / (count[0] + count[1]))
-    both = sorted(zip(map(bytes, got["chunk"].to_pylist()), got["label"].to_pylist(), strict=True))
-    chunks = np.frombuffer(b"".join(c for c, _ in both), np.uint8).reshape(-1, 2 * HALF)
-    y = np.array([k for _, k in both], np.float32)
-    weight = np.where(y == 1, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, (1 - y).sum()))).astype(np.float32)
-    net = fit_net(chunks, y, weight)
+    both = sorted(zip(map(bytes, got["chunk"].to_pylist()), got["label"].to_pylist(), got["share"].to_pylist(), strict=True))
+    chunks = np.frombuffer(b"".join(c for c, *_ in both), np.uint8).reshape(-1, 2 * HALF)
+    y, share = np.array([k for _, k, _ in both], np.float32), np.array([s for *_, s in both])
+    weight = share / np.where(y == 1, share[y == 1].sum(), share[y == 0].sum()) * len(y) / 2
+    net = fit_net(chunks, y, weight.astype(np.float32))
 
     def run(batches):
-        for batch, data, off in slices(batches, 0):
+        for batch, data, off in slices(batches, 0, 1 << 20):
             s = net.summary(data, off)
             yield pa.RecordBatch.from_arrays([pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array(s[:, 2]), batch.column(1)], ["a", "b", "c", "label"])
 
@@ -227,9 +248,9 @@ def score(docs, net: Net | float, id_col: str = "doc_id", text_col: str = "text"
     shared = docs.sparkSession.sparkContext.broadcast(net)  # of a fixed size
 
     def run(batches):
-        for batch, data, off in slices(batches, 1):
+        for batch, data, off in slices(batches, 1, 1 << 20):
             p = shared.value.probability(data, off)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["id", "score", "predicted"])
 
     rows = docs.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text")
-    return rows.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, score double, predicted int").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), f"id {dict(docs.dtypes)[id_col]}, score double, predicted int").withColumnRenamed("id", id_col)
