@@ -6,8 +6,9 @@ table), from which the driver picks the splits.  The trained trees become one
 nested CASE expression, so that scoring is a projection without a shuffle.
 
 Training takes labelled URLs; without any others, the URLs that a rule judges are
-the labels.  The fit takes at most ``fit_rows`` of them, chosen by a hash of the
-URL.  Scoring covers all rows.
+the labels.  Shares of blocked URLs by suffix are counted over all of them and
+joined to the rows.  The trees take at most ``fit_rows`` of them, in order of a
+hash of the URL.  Scoring covers all rows.
 
 Behaviour on odd input: a null URL or one without "://" has an empty host and
 path and is judged by the trees; with no labelled URL, or one kind alone, what
@@ -22,12 +23,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import BROADCAST_ROWS, onto, settle, unused
 
 #: Labelled URLs that the fit may see at most.
 FIT_ROWS = 20_000
-#: Suffixes of hosts whose share of blocked URLs is kept.
-SUFFIXES = 64
 TREES, DEPTH, BINS, RATE, LEAF = 10, 2, 16, 0.4, 5.0
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -115,18 +114,10 @@ NUMBERS = ("length", "host_length", "path_length", "depth", "labels", "digits",
 @dataclass
 class Trees:
     prior: float
-    rates: dict[str, float]  # share of blocked URLs by suffix
+    shares: dict[str, DataFrame]  # share of blocked URLs by suffix, settled
     trees: list  # nested (feature, threshold, left, right) or a leaf's value
     constant: str | None = None
 
-    def features(self, url: Column) -> dict[str, Column]:
-        """Numbers by name, the suffixes as their share of blocked URLs."""
-        raw = lexical(url)
-        known = F.create_map(*[F.lit(x) for kv in sorted(self.rates.items()) for x in kv]) if self.rates else None
-        for s in ("suffix1", "suffix2"):
-            raw[s] = F.coalesce(F.try_element_at(known, raw[s]), F.lit(self.prior)) if known is not None else F.lit(self.prior)
-        return raw
-
     def margin(self, features: dict[str, Column]) -> Column:
         def one(t):
             return F.lit(float(t)) if not isinstance(t, tuple) else F.when(features[t[0]] <= t[1], one(t[2])).otherwise(one(t[3]))
@@ -140,32 +131,46 @@ class Trees:
         """``df`` with the verdict in column ``out``; features in a projection of their own."""
         if self.constant:
             return df.withColumn(out, F.lit(self.constant))
-        names = {k: f"_url_{k}" for k in (*NUMBERS, "suffix1", "suffix2")}
-        wide = df.withColumns({names[k]: v for k, v in self.features(F.col(url)).items()})
+        names = {k: unused(df.columns, f"url_{k}") for k in (*NUMBERS, *SUFFIX)}
+        wide = df.withColumns({names[k]: v for k, v in lexical(F.col(url)).items()})
+        for s in SUFFIX:
+            wide = with_share(wide, names[s], self.shares[s], self.prior)
         m = self.margin({k: F.col(v) for k, v in names.items()})
         return wide.withColumn(out, F.when(m > 0, "block").otherwise("allow")).drop(*names.values())
 
 
+SUFFIX = ("suffix1", "suffix2")
+
+
+def with_share(rows: DataFrame, column: str, shares: DataFrame, prior: float) -> DataFrame:
+    """A column of suffixes replaced by their shares; unknown ones have the prior."""
+    value = unused(rows.columns, "share")
+    one = shares.toDF(column, value)
+    both = rows.join(F.broadcast(one), column, "left") if shares.count() <= BROADCAST_ROWS else onto(rows, one, column)
+    return both.withColumn(column, F.coalesce(value, F.lit(prior))).drop(value)
+
+
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Trees:
     """Boosted trees from columns url and blocked (0 or 1)."""
     rows = labelled.where("url is not null and blocked is not null").groupBy("url").agg(F.max("blocked").cast("double").alias("y"))
     total = rows.agg(F.count("*").alias("n"), F.sum("y").alias("y")).first()
     if not total.n or total.y in (0, total.n):
         return Trees(0.5, {}, [], "block" if total.n and total.y else "allow")
+    prior = total.y / total.n
+    ends = rows.select("y", *[v.alias(k) for k, v in lexical(F.col("url")).items() if k in SUFFIX])
+    shares = {s: settle(ends.groupBy(s).agg(((F.sum("y") + 10 * prior) / (F.count("*") + 10)).alias("share"))) for s in SUFFIX}
     if total.n > fit_rows:
-        rows = rows.where(F.pmod(F.xxhash64("url", F.lit(31)), F.lit(1 << 30)) < int(fit_rows / total.n * (1 << 30))).limit(fit_rows)
-    raw = settle(rows.select("y", *[v.alias(k) for k, v in lexical(F.col("url")).items()]))
-    prior = raw.agg(F.avg("y")).first()[0]
-    if prior is None or prior in (0.0, 1.0):
-        return Trees(0.5, {}, [], "block" if prior else "allow")
-    shares = {}
-    for s in ("suffix1", "suffix2"):
-        top = raw.groupBy(F.col(s).alias("s")).agg(F.count("*").alias("n"), F.sum("y").alias("y")).orderBy(F.desc("n"), "s").limit(SUFFIXES)
-        shares |= {r.s: (r.y + 10 * prior) / (r.n + 10) for r in top.collect()}
+        top, margin = 1 << 30, fit_rows + 8 * int(fit_rows**0.5) + 16
+        rows = rows.withColumn("mark", F.pmod(F.xxhash64("url", F.lit(31)), F.lit(top))).where(F.col("mark") <= int(min(1, margin / total.n) * top))
+        rows = rows.orderBy("mark", "url").limit(fit_rows).drop("mark")
+    raw = rows.select("y", *[v.alias(k) for k, v in lexical(F.col("url")).items()])
+    for s in SUFFIX:
+        raw = with_share(raw, s, shares[s], prior)
+    raw = settle(raw)
+    if raw.select("y").distinct().count() < 2:
+        return Trees(0.5, {}, [], "block" if raw.first().y else "allow")
     model = Trees(prior, shares, [])
-    known = F.create_map(*[F.lit(x) for kv in sorted(shares.items()) for x in kv])
-    raw = raw.withColumns({s: F.coalesce(F.try_element_at(known, F.col(s)), F.lit(prior)) for s in ("suffix1", "suffix2")})
-    names = [*NUMBERS, "suffix1", "suffix2"]
+    names = [*NUMBERS, *SUFFIX]
     cuts = dict(zip(names, [sorted(set(c)) for c in raw.approxQuantile(names, [i / BINS for i in range(1, BINS)], 0.005)], strict=True))
     binned = settle(raw.select("y", *names, *[_bin(k, cuts[k]).alias(f"bin_{k}") for k in names]).groupBy("y", *names, *[f"bin_{k}" for k in names]).agg(F.count("*").alias("w")))
     columns = {k: F.col(k) for k in names}
@@ -234,11 +239,11 @@ def _grow(grads: DataFrame, names: list[str], cuts: dict):
 
 def filter_urls(pages: DataFrame, given: list[Rule], url_col: str = "url", labelled: DataFrame | None = None, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """``keep``, host, path, rule and verdict of every row."""
-    rows = pages.select(*[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)], F.col(url_col).alias("url"))
+    rows = pages.select(*[F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)], F.col(url_col).alias("url"))
     rows = rows.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
     name, verdict = judge(given, F.col("host"), F.col("path"))
-    rows = rows.withColumns({"rule": name, "_by_rule": verdict})
+    rows = rows.withColumns({"rule": name, "by_rule": verdict})
     if labelled is None:
-        labelled = rows.where("_by_rule is not null").select("url", (F.col("_by_rule") == "block").cast("int").alias("blocked"))
-    rows = fit(labelled).verdict(rows, "url", "_by_trees")
-    return rows.select(*[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)], "host", "path", "rule", F.coalesce("_by_rule", "_by_trees").alias("verdict"))
+        labelled = rows.where("by_rule is not null").select("url", (F.col("by_rule") == "block").cast("int").alias("blocked"))
+    rows = fit(labelled).verdict(rows, "url", "by_trees")
+    return rows.select(*[F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)], "host", "path", "rule", F.coalesce("by_rule", "by_trees").alias("verdict"))
