@@ -14,7 +14,8 @@ hash as well (checked for all cases of each length), whatever other items exist.
 Items of fewer than 5 words are no evidence and match nothing.
 
 The benchmark's hashes are broadcast only if their counted number is at most
-``broadcast_rows``; beyond it the join is left to shuffles.
+``broadcast_rows``; beyond it hashes with places alone are shuffled, and only rows
+and items that hit get their tokens.
 
 Behaviour on odd input: null or empty texts and empty tables give no rows; each
 pair of id and item comes once, repeated rows of an id together; other columns
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import light
+from .shared import light, row_name, unused
 
 MASKS = ((0, 1, 3, 6, 7), (0, 1, 5, 7, 8), (0, 1, 4, 5, 6))
 #: Masks for items under WINDOW words, each with the most words of an item that it is for.
@@ -35,8 +36,6 @@ WINDOW, NEEDED = 13, 10
 LEAST_WORDS = 5
 #: Rows of benchmark hashes (24 bytes each and the item's tokens) that may be broadcast.
 BROADCAST_ROWS = 200_000
-#: A column of whole rows' names that no table has.
-ROW = "_strandline_row"
 
 
 def tokens(text: str):
@@ -72,10 +71,14 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     masks = masks_for(sizes["least"] or WINDOW)
     seeds = _seeds(bench, "ih", masks, of_items=True).where("key is not null").select("key", "item", F.col("p").alias("q"), "ih")
     seeds = seeds.dropDuplicates(["key", "item", "q"])
-    if (sizes["all"] or 0) * len(masks) <= broadcast_rows:
-        seeds = F.broadcast(seeds)
     rows = docs.select(F.col(id_col).alias("id"), tokens(text_col).alias("h"))
-    hits = _seeds(rows, "h", masks).join(seeds, "key")
+    if (sizes["all"] or 0) * len(masks) <= broadcast_rows:
+        hits = _seeds(rows, "h", masks).join(F.broadcast(seeds), "key")
+    else:
+        rows = rows.withColumn("row", row_name("id", "h")).dropDuplicates(["row"])
+        places = _seeds(rows, "h", masks).where("key is not null").select("row", "key", "p").join(seeds.select("key", "item", "q"), "key")
+        places = places.groupBy("row", "item", (F.col("p") - F.col("q")).alias("p")).agg(F.lit(0).alias("q"))
+        hits = places.join(rows, "row").join(bench, "item")
     n, shift = F.size("ih"), F.col("p") - F.col("q")
     # the document's tokens beside the item's: from shift on, cut at the document's ends
     lead = F.greatest(-shift, F.lit(0))
@@ -92,9 +95,10 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
     """The rows of ``docs`` without a verified overlap; all their columns."""
-    marked = docs.withColumn(ROW, F.xxhash64(F.col(id_col), F.col(text_col)))
-    bad = light(overlaps(marked, items, ROW, text_col, **names).select(ROW).distinct())
-    return marked.join(bad, ROW, "left_anti").drop(ROW)
+    name = unused(docs.columns, "row")
+    marked = docs.withColumn(name, row_name(F.col(id_col), F.col(text_col)))
+    bad = light(overlaps(marked, items, name, text_col, **names).select(name).distinct())
+    return marked.join(bad, name, "left_anti").drop(name)
 
 
 #: The same result in DuckDB's SQL, over every alignment that shares a token.
