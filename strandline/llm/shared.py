@@ -91,8 +91,8 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-#: Rows of a few numbers (32 bytes at most) that may be broadcast; more go by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Narrow rows (64 bytes at most) that may be broadcast; more go by shuffle.
+BROADCAST_ROWS = 250_000
 
 
 def light(df: DataFrame) -> DataFrame:
