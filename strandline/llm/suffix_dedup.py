@@ -23,7 +23,9 @@ How a corpus is cut so that each suffix array is small and no repeat is lost:
 Anchors above HOT occurrences use runs of one window, whose strings have no
 sides, so that they spread over buckets and are only counted.  A block of texts
 sends each distinct hash or string once with its count; the answers come back to
-the block, which keeps its rows and so needs no join by id.  Matches never cross
+the block.  Its rows stay in a file of the shared folder, under a name that only
+the block's own rows carry, so that texts are neither shuffled nor joined by id;
+what a lost or repeated task left there under another name is never read.  Matches never cross
 rows.  Hashes of 64 bits tell anchors and cores apart.
 
 Behaviour on odd input: null and empty texts and texts under LENGTH bytes stay
@@ -38,10 +40,11 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import dealt, release, settle, tidy
+from .shared import cuts_of, lean, settle, shared_dir, trim
 from .textkit import SLICE, _ipw, _pw, mix, planes, ragged, slices, text_buffer, unplanes
 
 LENGTH = 200
@@ -245,24 +248,30 @@ def anchors(data: np.ndarray, off: np.ndarray):
 
 
 # -- blocks -----------------------------------------------------------------------
-def _freeze(batch: pa.RecordBatch) -> bytes:
-    out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as w:
+def _freeze(batch: pa.RecordBatch, uri: str) -> None:
+    """Write a block's rows or places; under their name they are whole or not there."""
+    store, path = fs.FileSystem.from_uri(uri)
+    part = f"{path}.{uuid.uuid4().hex}"
+    with store.open_output_stream(part) as out, pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as w:
         w.write_batch(batch)
-    return out.getvalue().to_pybytes()
+    if store.get_file_info(path).type != fs.FileType.NotFound:
+        store.delete_file(path)  # of an attempt before; not all stores move onto a file
+    store.move(part, path)
 
 
-def _thaw(raw: bytes) -> pa.RecordBatch:
-    return pa.ipc.open_stream(raw).read_next_batch()
+def _thaw(uri: str) -> pa.RecordBatch:
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_input_stream(path) as f:
+        return pa.ipc.open_stream(f).read_next_batch()
 
 
-_FIELDS = [("block", pa.int64()), ("bucket", pa.int32()), ("frame", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())]
-_SCHEMA = "block long, bucket int, frame binary, a binary, b binary, c binary"
+_FIELDS = [("block", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())]
+_SCHEMA = "block long, bucket int, a binary, b binary, c binary"
 _ARROW = pa.schema(_FIELDS)
 
 
 def _rows(rows: list[tuple]) -> list[pa.Array]:
-    return [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True) if rows else [()] * 6, _FIELDS, strict=True)]
+    return [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True) if rows else [()] * 5, _FIELDS, strict=True)]
 
 
 def _distinct(h: np.ndarray, buckets: int):
@@ -275,16 +284,17 @@ def _distinct(h: np.ndarray, buckets: int):
     return u[order], n[order], place[codes], np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
 
 
-def _send_anchors(text: int, buckets: int):
+def _send_anchors(text: int, buckets: int, folder: str):
     def run(batches):
         for batch, data, off in slices(batches, text, BLOCK):
             name = uuid.uuid4().int >> 66
+            _freeze(batch, f"{folder}/{name}.rows")
             u, n, _, cuts = _distinct(anchors(data, off)[1], buckets)
-            rows = [(name, -1, _freeze(batch), None, None, None)]
-            rows += [(name, k, None, planes(u[a:b], 8), planes(n[a:b], 4), None) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+            rows = [(name, -1, None, None, None)]
+            rows += [(name, k, planes(u[a:b], 8), planes(n[a:b], 4), None) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
             yield pa.RecordBatch.from_arrays(_rows(rows), schema=_ARROW)
 
-    return run
+    return lean(run)
 
 
 def _judge_anchors(t: pa.Table, hot: int) -> pa.Table:
@@ -295,7 +305,7 @@ def _judge_anchors(t: pa.Table, hot: int) -> pa.Table:
     total = np.bincount(codes, np.concatenate(counts))[codes]
     kind = ((total > 1).astype(np.uint8) + ((total > 1) & (total > hot))).astype(np.uint8)
     cuts = np.cumsum([0, *map(len, hashes)]).tolist()
-    rows = [(k, b, None, kind[i:j].tobytes(), None, None) for k, b, i, j in zip(t["block"].to_pylist(), t["bucket"].to_pylist(), cuts, cuts[1:], strict=False)]
+    rows = [(k, b, kind[i:j].tobytes(), None, None) for k, b, i, j in zip(t["block"].to_pylist(), t["bucket"].to_pylist(), cuts, cuts[1:], strict=False)]
     return pa.Table.from_arrays(_rows(rows), schema=_ARROW)
 
 
@@ -319,11 +329,11 @@ def _sides(data, off, cores: np.ndarray) -> np.ndarray:
     return np.where(ok, data[np.clip(at, 0, len(data) - 1)], 0).astype(np.uint8)
 
 
-def _send_strings(text: int, buckets: int):
+def _send_strings(text: int, buckets: int, folder: str):
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("bucket")
-        head = t.slice(0, 1).to_pylist()[0]
-        data, off = text_buffer(_thaw(head["frame"]).column(text))
+        block = t["block"][0].as_py()
+        data, off = text_buffer(_thaw(f"{folder}/{block}.rows").column(text))
         place, h, lo, hi = anchors(data, off)
         _, _, codes, _ = _distinct(h, buckets)
         kinds = np.concatenate([np.empty(0, np.uint8), *[np.frombuffer(x, np.uint8) for x in t["a"].to_pylist()[1:]]])
@@ -343,9 +353,11 @@ def _send_strings(text: int, buckets: int):
         sides = np.concatenate([side, np.zeros((len(alone), 2 * RUN - 2), np.uint8)])[first][order]
         cores, n = cores[order], np.minimum(n[order], 2)
         where = np.concatenate([runs, -1 - single])
-        rows = [(head["block"], -1, head["frame"], where.astype("<i4").tobytes(), planes(at[codes], 4), None)]
-        rows += [(head["block"], k, None, planes(cores[a:b], 8), sides[a:b].T.tobytes(), n[a:b].astype(np.uint8).tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-        return pa.Table.from_arrays(_rows(rows), schema=_ARROW)
+        _freeze(pa.RecordBatch.from_arrays([pa.array([where.astype("<i4").tobytes()]), pa.array([planes(at[codes], 4)])], ["where", "codes"]), f"{folder}/{block}.places")
+        rows = [(block, k, planes(cores[a:b], 8), sides[a:b].T.tobytes(), n[a:b].astype(np.uint8).tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+        out = pa.Table.from_arrays(_rows(rows), schema=_ARROW)
+        trim()
+        return out
 
     return run
 
@@ -386,19 +398,20 @@ def _judge_strings(t: pa.Table) -> pa.Table:
         at = to
     mask = mask[codes]
     cuts = np.cumsum([0, *map(len, counts)]).tolist()
-    rows = [(k, b, None, mask[i:j].astype("<u2").tobytes(), None, None) for k, b, i, j in zip(t["block"].to_pylist(), t["bucket"].to_pylist(), cuts, cuts[1:], strict=False)]
+    rows = [(k, b, mask[i:j].astype("<u2").tobytes(), None, None) for k, b, i, j in zip(t["block"].to_pylist(), t["bucket"].to_pylist(), cuts, cuts[1:], strict=False)]
     return pa.Table.from_arrays(_rows(rows), schema=_ARROW)
 
 
-def _removed(t: pa.Table, text: int):
+def _removed(t: pa.Table, text: int, folder: str):
     """The block's rows, its bytes and offsets, and which bytes go."""
     t = t.sort_by("bucket")
-    head = t.slice(0, 1).to_pylist()[0]
-    batch = _thaw(head["frame"])
+    block = t["block"][0].as_py()
+    batch = _thaw(f"{folder}/{block}.rows")
     data, off = text_buffer(batch.column(text))
+    head = _thaw(f"{folder}/{block}.places").to_pylist()[0]
     mask = np.concatenate([np.empty(0, np.uint16), *[np.frombuffer(x, "<u2") for x in t["a"].to_pylist()[1:]]])
-    where = np.frombuffer(head["a"], "<i4").astype(np.int64)
-    mask = mask[unplanes(head["b"], 4).astype(np.int64)]
+    where = np.frombuffer(head["where"], "<i4").astype(np.int64)
+    mask = mask[unplanes(head["codes"], 4).astype(np.int64)]
     cover = np.zeros(len(data) + LENGTH + 1, np.int32)
     single = where < 0
     hit = -1 - where[single & (mask > 0)]
@@ -417,16 +430,23 @@ def _removed(t: pa.Table, text: int):
 def remove(docs: DataFrame, id_col: str, text_col: str, finish, fields: str, hot: int = HOT) -> DataFrame:
     """Runs the operator; ``finish(batch, data, off, gone)`` makes a block's output table."""
     spark = docs.sparkSession
-    buckets = dealt(spark)
+    buckets = cuts_of(docs, text_col)
     text = docs.columns.index(text_col)
-    blocks = settle(docs.mapInArrow(_send_anchors(text, buckets), _SCHEMA))
+    folder = shared_dir(spark)
+    store, path = fs.FileSystem.from_uri(folder)
+    store.create_dir(path, recursive=True)
+    blocks = settle(docs.mapInArrow(_send_anchors(text, buckets, folder), _SCHEMA))
     heads = blocks.where("bucket < 0")
     kinds = blocks.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _judge_anchors(t, hot), _SCHEMA)
-    strings = settle(heads.union(kinds).groupBy("block").applyInArrow(_send_strings(text, buckets), _SCHEMA))
-    release(blocks)  # the strings' table has all that comes after
-    tidy(spark)
-    masks = strings.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _judge_strings(t), _SCHEMA)
-    return strings.where("bucket < 0").union(masks).groupBy("block").applyInArrow(lambda t: finish(*_removed(t, text)), fields)
+    strings = heads.union(kinds).groupBy("block").applyInArrow(_send_strings(text, buckets, folder), _SCHEMA)
+    masks = strings.groupBy("bucket").applyInArrow(lambda t: _judge_strings(t), _SCHEMA)
+
+    def last(t: pa.Table) -> pa.Table:
+        out = finish(*_removed(t, text, folder))
+        trim()
+        return out
+
+    return heads.union(masks).groupBy("block").applyInArrow(last, fields)
 
 
 def _spans(off, gone) -> np.ndarray:

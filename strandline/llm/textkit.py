@@ -72,7 +72,7 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def slices(batches, text_index: int, limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def slices(batches, text_index: int, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Row ranges of the batches with about ``limit`` bytes of text each (one row at least)."""
     for batch in batches:
         data, off = text_buffer(batch.column(text_index))
