@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from .shared import lean
 from .textkit import slices
 
 #: Rows that the fit may see at most.
@@ -216,7 +217,7 @@ def fit(df, label_col: str, text_col: str, key, fit_rows: int = FIT_ROWS, scale:
     rows, quota = sampled(known, fit_rows)
     if not quota:
         return None
-    near = rows.select("label", "text", "h").mapInArrow(_features, "label string, h long, slots binary, tf binary").collect()
+    near = rows.select("label", "text", "h").mapInArrow(lean(_features), "label string, h long, slots binary, tf binary").collect()
     left, got = dict(quota), []
     for r in sorted(near, key=lambda r: (r.h, r.label, bytes(r.slots), bytes(r.tf))):
         if left[r.label] > 0:
@@ -226,7 +227,7 @@ def fit(df, label_col: str, text_col: str, key, fit_rows: int = FIT_ROWS, scale:
     languages = sorted({r[0] for r in got})
     data = [(languages.index(a), np.frombuffer(s, "<i4"), np.frombuffer(t, "<f4").astype(float)) for a, s, t in got]
     df_count = np.zeros(NOTHING + 1)
-    for r in known.select("text").mapInArrow(_frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+    for r in known.select("text").mapInArrow(lean(_frequencies), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
         df_count[r.slot] = r.n
     idf = np.log((1 + df_count[NOTHING]) / (1 + df_count)) + 1
     data = [(y, at, x * idf[at] * scale) for y, at, x in data]
@@ -260,4 +261,4 @@ def predict(df, model: Model | None, id_col: str = "doc_id", text_col: str = "te
     fields = [*[f"c{i}" for i in range(len(kept))], "lang_pred", "score"]
     rows = df.select(F.col(text_col).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(kept)])
     schema = ", ".join(f"c{i} {dict(df.dtypes)[c]}" for i, c in enumerate(kept))
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double").toDF(*kept, "lang_pred", "score")
+    return rows.mapInArrow(lean(run), f"{schema}, lang_pred string, score double").toDF(*kept, "lang_pred", "score")

@@ -8,7 +8,9 @@ word is one more way through its lattice, an arc over the whole word: with N
 training tokens of T kinds such arcs share the weight N / (N + T), after Witten
 and Bell, and the pieces the rest.  A text is its words, each begun by the word
 mark, then one end; its score is the log10 of the product.  Pieces, bytes and the
-end share one distribution, so the scores are log probabilities.
+end share one distribution, so the scores are log probabilities.  Beside it stands
+``vocabulary_score``, the same sum with the vocabulary's own weights alone, of
+which nothing is learned.
 
 How it runs.  Texts become blocks: a list of the block's distinct words, cut
 into buckets by the words' hash, and the texts as numbers into that list.
@@ -20,11 +22,13 @@ grows with the corpus reaches the driver; pieces' weights are of a fixed size.
 Behaviour on odd input: a null or empty text is the end alone; without training
 texts the counts are zero and the weights are the vocabulary's own; repeated
 ids are scored row by row; other columns are ignored.  Words are told apart
-within a block by a 64-bit hash and between blocks by their bytes.
+within a block by a 64-bit hash and between blocks by their bytes; one of more than
+LONG bytes, as in a text without blanks, goes through its lattice piece by piece.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import dataclass
 
@@ -32,11 +36,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .shared import dealt, settle
+from .shared import cuts_of, lean, settle, trim
 from .textkit import _BASE, planes, slices, unplanes, word_bounds, word_hashes
 
 #: Bytes of text in a block (a longer text is a block of its own).
-BLOCK = 8 << 20
+BLOCK = 4 << 20
+#: Bytes of a word from which its lattice is walked alone, STRETCH ends at a time.
+LONG, STRETCH = 2048, 1 << 15
 #: Passes of expectation maximisation.
 PASSES = 3
 #: Weight of the vocabulary's own distribution when weights are adapted, in pieces.
@@ -174,6 +180,63 @@ def expected(pieces: Pieces, logp: np.ndarray, block: np.ndarray, weight: np.nda
     return out
 
 
+def _long_arcs(pieces: Pieces, word: np.ndarray, first: int, last: int):
+    """For ends first to last - 1 of one long word (a blank first) the arcs into each: (length, number)."""
+    ends = np.arange(first, last)
+    h = np.zeros(len(ends), _U)
+    found = []
+    with np.errstate(over="ignore"):
+        for k in range(1, pieces.lengths[-1] + 1):
+            ok = ends >= k
+            h[ok] += _SIGN[word[ends[ok] - k]] * _U(pow(_BASE, k - 1, 1 << 64))
+            if k in pieces.lengths:
+                rows, numbers = pieces.find(_finish(h, k))
+                here = ok[rows]
+                found.append((rows[here], np.full(int(here.sum()), k), numbers[here]))
+    rows, length, number = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(rows, kind="stable")
+    cuts = np.searchsorted(rows[order], np.arange(len(ends) + 1)).tolist()
+    length, number = length[order].tolist(), number[order].tolist()
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield list(zip(length[a:b], number[a:b], strict=True))
+
+
+def _log_sum(values: list[float]) -> float:
+    top = max(values)
+    return top + math.log(sum(math.exp(v - top) for v in values)) if top > -math.inf else top
+
+
+def long_forward(pieces: Pieces, logp: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Log probabilities of all prefixes of one long word (bytes, a blank first)."""
+    n, p = len(word), logp.tolist()
+    a = [0.0]
+    for first in range(1, n + 1, STRETCH):
+        last = min(n + 1, first + STRETCH)
+        for j, arcs in zip(range(first, last), _long_arcs(pieces, word, first, last), strict=True):
+            a.append(_log_sum([a[j - 1] + p[1 + int(word[j - 1])], *[a[j - k] + p[i] for k, i in arcs]]))
+    return np.array(a)
+
+
+def long_expected(pieces: Pieces, logp: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Expected number of uses of each piece and byte over one long word."""
+    n, p = len(word), logp.tolist()
+    a = long_forward(pieces, logp, word).tolist()
+    b, out = [-math.inf] * n + [0.0], [0.0] * len(p)
+
+    def use(j: int, k: int, i: int) -> None:
+        through = p[i] + b[j]
+        out[i] += math.exp(a[j - k] + through - a[n])
+        b[j - k] = _log_sum([b[j - k], through])
+
+    for last in range(n + 1, 1, -STRETCH):
+        first = max(1, last - STRETCH)
+        for j, arcs in reversed(list(zip(range(first, last), _long_arcs(pieces, word, first, last), strict=True))):
+            use(j, 1, 1 + int(word[j - 1]))
+            for k, i in arcs:
+                use(j, k, i)
+    return np.array(out)
+
+
 def matrices(words: list[bytes]):
     """The words, a blank before each, as matrices of equal length: (places, matrix)."""
     size = np.fromiter(map(len, words), np.int64, len(words))
@@ -194,7 +257,19 @@ def word_logp(pieces: Pieces, logp: np.ndarray, words: list[bytes]) -> np.ndarra
     """Natural log probabilities of the words."""
     out = np.zeros(len(words))
     for part, block in matrices(words):
-        out[part] = forward(pieces, logp, block)[-1]
+        out[part] = forward(pieces, logp, block)[-1] if block.shape[1] <= LONG else [long_forward(pieces, logp, w)[-1] for w in block]
+    return out
+
+
+def word_uses(pieces: Pieces, logp: np.ndarray, words: list[bytes], weight: np.ndarray) -> np.ndarray:
+    """Expected number of uses of each piece and byte over the weighted words."""
+    out = np.zeros(len(logp))
+    for part, block in matrices(words):
+        if block.shape[1] <= LONG:
+            out += expected(pieces, logp, block, weight[part])
+        else:
+            for i, w in zip(part, block, strict=True):
+                out += weight[i] * long_expected(pieces, logp, w)
     return out
 
 
@@ -225,16 +300,16 @@ def _blocks(buckets: int):
             texts = [raw[a:b] for a, b in zip(s, e, strict=True)]
             name = uuid.uuid4().int >> 66
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
-            rows = [(name, -1, None, None, batch.column(0).to_pylist(), counts.astype("<i4").tobytes(), planes(place[codes], 4), train.tobytes())]
-            rows += [(name, k, b"\n".join(texts[a:b]), uses[a:b].astype("<i4").tobytes(), None, None, None, None) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+            rows = [(name, -1, None, None, batch.column(0).to_pylist(), counts.astype("<i4").tobytes(), planes(place[codes], 4))]
+            rows += [(name, k, b"\n".join(texts[a:b]), uses[a:b].astype("<i4").tobytes(), None, None, None) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+            types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(batch.column(0).type), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    names = ["block", "bucket", "words", "uses", "ids", "sizes", "codes", "train"]
-    types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
-    return run
+    names = ["block", "bucket", "words", "uses", "ids", "sizes", "codes"]
+    return lean(run)
 
 
-_BLOCK_SCHEMA = "block long, bucket int, words binary, uses binary, ids array<long>, sizes binary, codes binary, train binary"
+_BLOCK_SCHEMA = "block long, bucket int, words binary, uses binary, ids array<{}>, sizes binary, codes binary"
 
 
 def _gather(t: pa.Table) -> pa.Table:
@@ -257,15 +332,17 @@ def _gather(t: pa.Table) -> pa.Table:
 
 
 def score(docs, path: str, train, id_col: str = "doc_id", text_col: str = "text", passes: int = PASSES):
-    """Per row: the id column, n_tokens, n_known, train_tokens, base_score, score.
+    """Per row: the id column, n_tokens, n_known, train_tokens, base_score, score, vocabulary_score.
 
     ``train`` is a condition on ``docs``.  base_score is the add-one unigram score
-    over whole words of the training rows; score is the lattice's.
+    over whole words of the training rows; score is the lattice's, and
+    vocabulary_score that of the lattice with the vocabulary's own weights.
     """
     spark = docs.sparkSession
-    buckets = dealt(spark)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    blocks = settle(rows.mapInArrow(_blocks(buckets), _BLOCK_SCHEMA))
+    buckets = cuts_of(docs, text_col)
+    kind = dict(docs.dtypes)[id_col]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    blocks = settle(rows.mapInArrow(_blocks(buckets), _BLOCK_SCHEMA.format(kind)))
     schema = "bucket int, words binary, counts binary, total long, kinds long, blocks array<long>, places array<binary>"
     table = settle(blocks.where("bucket >= 0").select("bucket", "block", "words", "uses").groupBy("bucket").applyInArrow(_gather, schema))
     sums = table.agg(F.sum("total").alias("n"), F.sum("kinds").alias("v")).first()
@@ -284,12 +361,11 @@ def score(docs, path: str, train, id_col: str = "doc_id", text_col: str = "text"
                     words, c = _words(blob.as_py()), np.frombuffer(c.as_py(), "<i8")
                     known = np.flatnonzero(c)
                     words, c = [words[i] for i in known], c[known]
-                    for part, block in matrices(words):
-                        out += expected(vocabulary.value, logp.value, block, c[part].astype(float))
+                    out += word_uses(vocabulary.value, logp.value, words, c.astype(float))
             some = np.flatnonzero(out > 0)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.rint(out[some] * UNIT).astype(np.int64))], ["piece", "n"])
 
-        got = table.select("words", "counts").mapInArrow(uses, "piece long, n long").groupBy("piece").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n")).collect()
+        got = table.select("words", "counts").mapInArrow(lean(uses), "piece long, n long").groupBy("piece").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n")).collect()
         counts = np.zeros(len(p))
         for r in got:
             counts[r.piece] = float(r.n) / UNIT
@@ -297,43 +373,46 @@ def score(docs, path: str, train, id_col: str = "doc_id", text_col: str = "text"
         p = counts + PRIOR * pieces.prior
         p /= p.sum()
     final = spark.sparkContext.broadcast(np.log(p))
+    own = spark.sparkContext.broadcast(np.log(pieces.prior))
     arc, rest = (1 / (total + kinds), np.log(kinds / (total + kinds))) if total else (0.0, 0.0)
 
     def values(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                lp = word_logp(vocabulary.value, final.value, _words(row["words"]))
+                words = _words(row["words"])
+                lp, vp = word_logp(vocabulary.value, final.value, words), word_logp(vocabulary.value, own.value, words)
                 c = np.frombuffer(row["counts"], "<i8")
                 with np.errstate(divide="ignore"):
                     lp = np.logaddexp(np.log(c * arc), rest + lp)
                 at = [np.frombuffer(x, "<i4") for x in row["places"]]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(row["blocks"], pa.int64()), pa.array([row["bucket"]] * len(at), pa.int32()),
-                    pa.array([lp[x].astype("<f8").tobytes() for x in at], pa.binary()), pa.array([planes(c[x], 8) for x in at], pa.binary()),
-                ], ["block", "bucket", "lp", "c"])
+                    *[pa.array([v[x].astype("<f8").tobytes() for x in at], pa.binary()) for v in (lp, vp)], pa.array([planes(c[x], 8) for x in at], pa.binary()),
+                ], ["block", "bucket", "lp", "vp", "c"])
 
     def finish(t: pa.Table) -> pa.Table:
         t = t.sort_by("bucket")
         head = t.slice(0, 1).to_pylist()[0]  # bucket -1, the texts
         counts = np.frombuffer(head["sizes"], "<i4").astype(np.int64)
         codes = unplanes(head["codes"], 4).astype(np.int64)
-        lp = np.concatenate([np.empty(0), *[np.frombuffer(x, "<f8") for x in t["lp"].to_pylist()[1:]]])
+        lp, vp = (np.concatenate([np.empty(0), *[np.frombuffer(x, "<f8") for x in t[k].to_pylist()[1:]]]) for k in ("lp", "vp"))
         c = np.concatenate([np.empty(0, np.int64), *[unplanes(x, 8).astype(np.int64) for x in t["c"].to_pylist()[1:]]])
         full, low = np.flatnonzero(counts), np.log(10)
         begins = (np.cumsum(counts) - counts)[full]
-        out = {k: np.zeros(len(counts)) for k in ("base", "score", "known")}
+        out = {k: np.zeros(len(counts)) for k in ("base", "score", "own", "known")}
         if len(full):
             under = np.log10(total + kinds + 1)
-            for k, v in (("base", np.log10(c + 1) - under), ("score", lp / low), ("known", (c > 0).astype(float))):
+            for k, v in (("base", np.log10(c + 1) - under), ("score", lp / low), ("own", vp / low), ("known", (c > 0).astype(float))):
                 out[k][full] = np.add.reduceat(v[codes], begins)
         end = np.log10((trained + 1) / (total + kinds + 1))
+        trim()
         return pa.table({
-            "id": pa.array(head["ids"], pa.int64()), "n_tokens": pa.array(counts + 1), "n_known": pa.array(out["known"].astype(np.int64) + (trained > 0)),
-            "base_score": pa.array(out["base"] + end), "score": pa.array(out["score"] + np.log10(trained * arc + np.exp(rest + final.value[END]))),
+            "id": pa.array(head["ids"], t.schema.field("ids").type.value_type), "n_tokens": pa.array(counts + 1), "n_known": pa.array(out["known"].astype(np.int64) + (trained > 0)),
+            "base_score": pa.array(out["base"] + end), "score": pa.array(out["score"] + np.log10(trained * arc + np.exp(rest + final.value[END]))), "vocabulary_score": pa.array(out["own"] + own.value[END] / low),
         })
 
-    back = table.select("bucket", "words", "counts", "blocks", "places").mapInArrow(values, "block long, bucket int, lp binary, c binary")
-    heads = blocks.where("bucket < 0").select("block", "bucket", "ids", "sizes", "codes", F.lit(None).cast("binary").alias("lp"), F.lit(None).cast("binary").alias("c"))
+    back = table.select("bucket", "words", "counts", "blocks", "places").mapInArrow(lean(values), "block long, bucket int, lp binary, vp binary, c binary")
+    heads = blocks.where("bucket < 0").select("block", "bucket", "ids", "sizes", "codes", F.lit(None).cast("binary").alias("lp"), F.lit(None).cast("binary").alias("vp"), F.lit(None).cast("binary").alias("c"))
     both = heads.unionByName(back, allowMissingColumns=True)
-    out = both.groupBy("block").applyInArrow(finish, "id long, n_tokens long, n_known long, base_score double, score double")
-    return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    out = both.groupBy("block").applyInArrow(finish, f"id {kind}, n_tokens long, n_known long, base_score double, score double, vocabulary_score double")
+    return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "vocabulary_score")

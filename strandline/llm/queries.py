@@ -36,7 +36,7 @@ def op5_lattice_lm(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held = crc_of_id() % 7 == 2
     out = lattice_lm.score(docs, vocabulary("piece_bpe_32k.model"), ~held)
-    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "vocabulary_score")
 
 
 def op6_quality_cnn(spark, sf_dir):
