@@ -287,6 +287,16 @@ def to_text(t: Column, fmt: str | None = None) -> Column:
     return F.date_format(t, java_format(fmt if any(c.isalnum() for c in fmt) else fmt.join("Ymd")))
 
 
+def set_zone(t: Column, zone: str) -> Column:
+    """A wall clock's stamp as an instant of a zone (TIMESTAMP); the clock's reading stays."""
+    return F.to_utc_timestamp(t.cast(NTZ).cast("timestamp"), zone)
+
+
+def or_now(t: Column, otherwise: Column | None = None) -> Column:
+    """The stamp, or another (the present) where it is null."""
+    return F.coalesce(t, (F.current_timestamp() if otherwise is None else otherwise).cast(NTZ))
+
+
 def convert_zone(t: Column, source: str, target: str) -> Column:
     """The same instant on another zone's clock."""
     return F.convert_timezone(F.lit(source), F.lit(target), t.cast(NTZ))

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
+import enum
+import json
+import re
+import zoneinfo
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +58,55 @@ def is_primitive(t: T.DataType) -> bool:
     return is_num(t) or is_bool(t) or is_str(t) or is_date(t) or isinstance(t, T.NullType)
 
 
+def is_regex(value) -> bool:
+    return isinstance(value, re.Pattern)
+
+
+def is_jsonable(value) -> bool:
+    """Whether a Python value can be written as JSON."""
+    try:
+        json.dumps(value)
+    except (TypeError, ValueError):
+        return False
+    return True
+
+
+def is_zone(value) -> bool:
+    """Whether a value names or is a time zone."""
+    if isinstance(value, datetime.tzinfo):
+        return True
+    return isinstance(value, str) and value in zoneinfo.available_timezones()
+
+
+def primitive(value):
+    """A plain Python value: members of enums by value, stamps as ISO text, numpy scalars and
+    arrays unpacked, containers element by element."""
+    if isinstance(value, enum.Enum):
+        return primitive(value.value)
+    if isinstance(value, dict):
+        return {k: primitive(v) for k, v in value.items()}
+    if isinstance(value, list | tuple | set):
+        return [primitive(v) for v in value]
+    if isinstance(value, datetime.date | datetime.time):
+        return value.isoformat()
+    if hasattr(value, "tolist"):
+        return primitive(value.tolist())
+    return value
+
+
+def as_list(value, none: bool = False) -> list:
+    """A list of a value; None is the empty list, or [None] where ``none`` is set."""
+    if value is None:
+        return [None] if none else []
+    if isinstance(value, str | bytes | dict):
+        return [value]
+    return list(value) if hasattr(value, "__iter__") else [value]
+
+
+def as_tuple(value, none: bool = False) -> tuple:
+    return tuple(as_list(value, none))
+
+
 def series_columns(df: DataFrame, test) -> list[str]:
     return [f.name for f in df.schema if test(f.dataType)]
 

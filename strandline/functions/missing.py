@@ -9,6 +9,14 @@ from pyspark.sql import types as T
 INF = float("inf")
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have, for working columns."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def is_float(kind: T.DataType) -> bool:
     return isinstance(kind, T.FloatType | T.DoubleType)
 

@@ -54,8 +54,8 @@ def to_table(df: DataFrame, tree: str, pattern: str, kinds: dict[str, str] | Non
 
 def _explode(at: DataFrame, kept: list[str], name: str) -> DataFrame:
     """One row per entry of the object in ``_at``: its key as ``name``."""
-    entries = F.from_json(F.to_json("_at"), "map<string,variant>")
-    return at.select(*kept, F.explode(entries).alias(name, "_at"))
+    entries = at.sparkSession.tvf.variant_explode(F.col("_at").outer())
+    return at.lateralJoin(entries).where(F.col("key").isNotNull()).select(*kept, F.col("key").alias(name), F.col("value").alias("_at"))
 
 
 def leaves(df: DataFrame, tree: str, depth: int) -> DataFrame:
@@ -128,6 +128,17 @@ def vector_reduce(c: Column, start, function) -> Column:
     return F.aggregate(c, start, function)
 
 
+def tree_text(tree: dict, indent: int = 0) -> str:
+    """A nested dict as indented text, a line for each key; leaves stand beside their key."""
+    lines = []
+    for k, v in tree.items():
+        if isinstance(v, dict):
+            lines += [" " * indent + f"{k}:", *([tree_text(v, indent + 4)] if v else [])]
+        else:
+            lines.append(" " * indent + f"{k}: {v!r}")
+    return "\n".join(lines)
+
+
 def zipped(*arrays: Column) -> Column:
     """Arrays in step; those of one element are repeated, other lengths raise."""
     size = F.greatest(*[F.size(a) for a in arrays]) if len(arrays) > 1 else F.size(arrays[0])

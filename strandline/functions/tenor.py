@@ -34,12 +34,29 @@ def tenor_years(text: Column) -> Column:
     return F.coalesce(named, n * unit, t.try_cast("double"))
 
 
-def interpolate(xs: Column, ys: Column, x: Column, outside: str | float | None = None) -> Column:
+def on_grid(xs: list, ys: list, x: Column, outside: str | float | None = None) -> Column:
+    """Interpolation in fixed points: one CASE of straight lines, without arrays."""
+    points = [(float(a), float(b)) for a, b in zip(xs, ys, strict=True) if b is not None and b == b]
+    if len(points) < 2:
+        return F.lit(None).cast("double")
+    line = lambda p, q: F.lit(p[1]) + (x - p[0]) * F.lit(q[1] - p[1]) / F.lit(q[0] - p[0])
+    out = line(points[-2], points[-1])
+    for p, q in reversed(list(zip(points[:-1], points[1:-1], strict=False))):
+        out = F.when(x < q[0], line(p, q)).otherwise(out)
+    if outside != "extrapolate":
+        low, high = (points[0][1], points[-1][1]) if outside == "bound" else (outside, outside)
+        out = F.when(x < points[0][0], F.lit(low).cast("double")).when(x > points[-1][0], F.lit(high).cast("double")).otherwise(out)
+    return F.when(x.isNotNull(), out)
+
+
+def interpolate(xs: Column | list, ys: Column | list, x: Column, outside: str | float | None = None) -> Column:
     """Linear interpolation in two arrays, xs ascending; points without a value are left out.
 
     Outside of the points: null, a number, "bound" (the end's value) or "extrapolate".
-    Fewer than two points give null.
+    Fewer than two points give null.  Points that are Python lists become one CASE.
     """
+    if isinstance(xs, list):
+        return on_grid(xs, ys, x, outside)
     points = F.filter(F.arrays_zip(xs.alias("a"), ys.alias("b")), lambda p: p["b"].isNotNull() & ~F.isnan(p["b"].cast("double")))
     points = F.transform(points, lambda p: F.struct(p["a"].cast("double").alias("a"), p["b"].cast("double").alias("b")))
     n = F.size(points)

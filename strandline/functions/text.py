@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The letters.
+ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 # Market sectors whose case is restored.
 SECTORS = ("Comdty", "Index", "Curncy", "Corp", "Pfd", "Equity", "Govt", "Mtge")
 # Suffixes of numbers and the powers of ten that they stand for.

@@ -6,14 +6,16 @@ Policies are named by their first letter: inner, outer, left, right.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.missing import is_float, is_nan, valid
+from ..functions.missing import is_float, is_nan, spare, valid
 from .fill import fill, frames, nona, values_of
+from .joins import null_safe
 
 _HOW = {"i": "inner", "o": "full", "l": "left", "r": "right"}
 
@@ -42,7 +44,7 @@ def joint_index(series: list[DataFrame], idx: str, policy: str | DataFrame = "in
     if first == "r":
         return parts[-1]
     if first == "i":
-        return reduce(lambda a, b: a.join(b, keys, "left_semi"), parts)
+        return reduce(lambda a, b: null_safe(a, b, keys, "left_semi"), parts)
     return reduce(DataFrame.union, parts).distinct()
 
 
@@ -64,26 +66,27 @@ def reindex(df: DataFrame, index: DataFrame, idx: str, by=(), method=None, limit
     index = index.select(*keys).distinct()
     chain = method if isinstance(method, list) else [method]
     if chain[0] not in ("ffill", "pad", "bfill", "backfill"):
-        out = index.join(df, keys, "left").select(*keys, *columns)
+        out = null_safe(index, df, keys, "left").select(*keys, *columns)
         return fill(out, idx, method, by, columns, limit)
     ahead = chain[0] in ("ffill", "pad")
     clean = df.select(*keys, *[valid(df, c).alias(c) for c in columns])
-    marked = clean.withColumn("_target", F.lit(0))
-    both = marked.unionByName(index.withColumn("_target", F.lit(1)), allowMissingColumns=True)
+    target, place, many = (spare(df, n) for n in ("_target", "_order", "_many"))
+    marked = clean.withColumn(target, F.lit(0))
+    both = marked.unionByName(index.withColumn(target, F.lit(1)), allowMissingColumns=True)
     # at equal stamps the series' row stands before the index's on the side it is read from
-    order = F.struct(F.col(idx), F.col("_target") if ahead else -F.col("_target"))
-    both = both.withColumn("_order", order)
-    a, b, _, w = frames("_order", by)
+    order = F.struct(F.col(idx), F.col(target) if ahead else -F.col(target))
+    both = both.withColumn(place, order)
+    a, b, _, w = frames(place, by)
     span, pick = (a, F.last) if ahead else (b, F.first)
     out = {c: pick(F.col(c), ignorenulls=True).over(span) for c in columns}
     if limit is not None:
-        both = both.withColumn("_n", F.sum("_target").over(a))
+        both = both.withColumn(many, F.sum(target).over(a))
         for c in columns:
-            at = pick(F.when(F.col(c).isNotNull(), F.col("_n")), ignorenulls=True).over(span)
-            gap = F.col("_n") - at if ahead else at - F.col("_n") + 1
+            at = pick(F.when(F.col(c).isNotNull(), F.col(many)), ignorenulls=True).over(span)
+            gap = F.col(many) - at if ahead else at - F.col(many) + 1
             own = F.max(F.when(F.col(c).isNotNull(), 1)).over(_peers(idx, by))
             out[c] = F.when(own.isNotNull() | (gap <= limit), out[c])
-    filled = both.withColumns(out).where("_target = 1").select(*keys, *columns)
+    filled = both.withColumns(out).where(F.col(target) == 1).select(*keys, *columns)
     return fill(filled, idx, chain[1:], by, columns, limit) if chain[1:] else filled
 
 
@@ -96,7 +99,7 @@ def _peers(idx: str, by):
 def recent(left: DataFrame, right: DataFrame, idx: str, by=()) -> DataFrame:
     """As-of join: every row of the left series with the last values of the right one."""
     got = reindex(right, left, idx, by, "ffill")
-    return left.join(got, [*by, idx], "left")
+    return null_safe(left, got, [*by, idx], "left")
 
 
 def sync(series: list[DataFrame], idx: str, join="inner", method=None, columns: str | None = "inner", by=()) -> list[DataFrame]:
@@ -224,11 +227,12 @@ def absolute(df: DataFrame, idx: str = "idx", by=()) -> DataFrame:
 
 
 # -- across series ----------------------------------------------------------------
-def across(series: list[DataFrame], what: str, idx: str = "idx", join="outer", method=None, columns="outer", by=(), exclude: list | None = None) -> DataFrame:
+def across(series: list[DataFrame], what: str | list[str], idx: str = "idx", join="outer", method=None, columns="outer", by=(), exclude: list | None = None) -> DataFrame:
     """Per index and column the count, sum, mean or std of the valid values of all series.
 
     ``exclude`` lists values that do not count, instead of NaN and infinities.  The
-    standard deviation is the biased one and needs two values.
+    standard deviation is the biased one and needs two values.  Several statistics
+    come from one aggregation, as columns "<column>_<statistic>".
     """
     by = list(by)
     names = joint_columns([values_of(s, idx, by) for s in series], columns)
@@ -247,8 +251,10 @@ def across(series: list[DataFrame], what: str, idx: str = "idx", join="outer", m
         "sum": lambda v: F.sum(v),
         "mean": lambda v: F.avg(v),
         "std": lambda v: F.when(F.count(v) >= 2, F.stddev_pop(v)),
-    }[what]
-    return rows.groupBy(*by, idx).agg(*[make(value(c)).alias(c) for c in names])
+    }
+    one = isinstance(what, str)
+    out = [make[w](value(c)).alias(c if one else f"{c}_{w}") for c in names for w in ([what] if one else what)]
+    return rows.groupBy(*by, idx).agg(*out)
 
 
 def aggregate(df: DataFrame, function: Callable, idx: str = "idx", by=()) -> DataFrame:
@@ -258,4 +264,77 @@ def aggregate(df: DataFrame, function: Callable, idx: str = "idx", by=()) -> Dat
     return df.groupBy(*by).agg(*out) if by else df.agg(*out)
 
 
-__all__ = ["joint_columns", "joint_index", "recolumn", "reindex", "recent", "sync", "hconcat", "vconcat", "apply", "add", "mul", "sub", "div", "power", "gt", "ge", "lt", "le", "minimum", "maximum", "absolute", "across", "aggregate", "nona"]
+# -- any function ------------------------------------------------------------------
+def _series_in(value, found: list) -> None:
+    if isinstance(value, DataFrame):
+        found.append(value)
+    elif isinstance(value, dict):
+        for v in value.values():
+            _series_in(v, found)
+    elif isinstance(value, list | tuple):
+        for v in value:
+            _series_in(v, found)
+
+
+def _with_columns(value, pick, places):
+    """The argument with each series replaced by one of its columns."""
+    if isinstance(value, DataFrame):
+        return pick(next(places), value)
+    if isinstance(value, dict):
+        return {k: _with_columns(v, pick, places) for k, v in value.items()}
+    if isinstance(value, list | tuple):
+        return type(value)(_with_columns(v, pick, places) for v in value)
+    return value
+
+
+def aligned(function: Callable, idx: str = "idx", join="inner", method=None, columns: str | None = "inner", by=(), default=None) -> Callable:
+    """A function of Columns as one of series: all series among its arguments, also in lists
+    and dicts, are put on one index and one list of columns, and it runs column by column.
+
+    A series of one column takes part in every result column; others lend the column of
+    that name, or ``default``.  The result has the joint columns, or "value" if each
+    series has one.  Keyword arguments ``join``, ``method`` and ``columns`` of the call
+    override the policies.  All of it is one plan: joins on the index, then projections.
+    """
+    by = list(by)
+
+    @functools.wraps(function)
+    def run(*args, **kwargs) -> DataFrame:
+        how = {k: kwargs.pop(k, v) for k, v in (("join", join), ("method", method), ("columns", columns))}
+        found: list[DataFrame] = []
+        _series_in([args, kwargs], found)
+        if not found:
+            return function(*args, **kwargs)
+        index = joint_index(found, idx, how["join"], by)
+        lists = [values_of(s, idx, by) for s in found]
+        many = [x for x in lists if len(x) > 1]
+        names = joint_columns(many, how["columns"]) if many else ["value"]
+        keys, wide = [*by, idx], index
+        for i, s in enumerate(found):
+            at = reindex(s, index, idx, by, how["method"])
+            wide = null_safe(wide, at.select(*keys, *[_nan_to_null(at, c).alias(f"_s{i}_{c}") for c in lists[i]]), keys, "left")
+
+        def call(name: str) -> Column:
+            def pick(i, _):
+                own = lists[i][0] if len(lists[i]) == 1 else name
+                return F.col(f"_s{i}_{own}") if own in lists[i] else F.lit(default).cast("double")
+
+            places = iter(range(len(found)))
+            a = _with_columns(list(args), pick, places)
+            out = function(*a, **_with_columns(kwargs, pick, places))
+            return out if isinstance(out, Column) else F.lit(out)
+
+        return wide.select(*keys, *[call(n).alias(n) for n in names])
+
+    return run
+
+
+def as_series(df: DataFrame, name: str, idx: str = "idx", by=(), column: str | None = None) -> DataFrame:
+    """A frame with one value column, or the named one of several, under a name."""
+    own = values_of(df, idx, by)
+    if column is None and len(own) != 1:
+        raise ValueError(f"one value column is asked for, not {own}")
+    return df.select(*by, idx, F.col(column or own[0]).alias(name))
+
+
+__all__ = ["aligned", "as_series", "joint_columns", "joint_index", "recolumn", "reindex", "recent", "sync", "hconcat", "vconcat", "apply", "add", "mul", "sub", "div", "power", "gt", "ge", "lt", "le", "minimum", "maximum", "absolute", "across", "aggregate", "nona"]

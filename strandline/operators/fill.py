@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.missing import is_nan, missing, valid
+from ..functions.missing import is_nan, missing, spare, valid
 
 _A = (Window.unboundedPreceding, Window.currentRow)
 _B = (Window.currentRow, Window.unboundedFollowing)
@@ -54,16 +54,17 @@ def _fill(df: DataFrame, idx: str, method, by: list, columns: list[str], limit)
         return nona(df, idx, by, columns)
     if method == "fnna":
         return nona(df, idx, by, columns, edge=-1)
-    place = "_place"
+    place = spare(df, "_place")
     df = df.withColumn(place, F.row_number().over(w))
+    names = {c: (spare(df, f"_v{c}"), spare(df, f"_i{c}")) for c in columns}
     step = {}
-    for c in columns:
-        step[f"_v{c}"] = valid(df, c)
-        step[f"_i{c}"] = F.when(~missing(df, c), F.col(place))
+    for c, (v, i) in names.items():
+        step[v] = valid(df, c)
+        step[i] = F.when(~missing(df, c), F.col(place))
     df = df.withColumns(step)
     out = {}
     for c in columns:
-        v, i, at = F.col(f"_v{c}"), F.col(f"_i{c}"), F.col(place)
+        v, i, at = F.col(names[c][0]), F.col(names[c][1]), F.col(place)
         before, after = F.last(v, ignorenulls=True).over(a), F.first(v, ignorenulls=True).over(b)
         at_before, at_after = F.last(i, ignorenulls=True).over(a), F.first(i, ignorenulls=True).over(b)
         if method in ("ffill", "pad"):
@@ -106,9 +107,10 @@ def nona(df: DataFrame, idx: str, by=(), columns=None, edge: int | None = None,
         return df.where(~gone)
     z = frames(idx, by)[2]
     ends = F.max if edge > 0 else F.min
-    df = df.withColumn("_edge", ends(F.when(~gone, F.col(idx))).over(z))
-    keep = F.col(idx) <= F.col("_edge") if edge > 0 else F.col(idx) >= F.col("_edge")
-    return df.where(keep).drop("_edge")
+    last = spare(df, "_edge")
+    df = df.withColumn(last, ends(F.when(~gone, F.col(idx))).over(z))
+    keep = F.col(idx) <= F.col(last) if edge > 0 else F.col(idx) >= F.col(last)
+    return df.where(keep).drop(last)
 
 
 def mask_to_value(df: DataFrame, columns, mask=None, value=0.0) -> DataFrame:

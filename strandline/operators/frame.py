@@ -13,10 +13,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from ..functions.missing import is_float, is_nan, missing
+from ..functions.missing import is_float, is_nan, missing, spare
 from ..plans.derive import derive, expression, parameters
 
-__all__ = ["derive", "inc", "exc", "one_or_none", "find", "keep", "minus", "matching", "get", "relabel", "do", "if_else", "if_none", "sort_by", "concat", "listby", "groupby", "ungroup", "unlist", "pivot", "unpivot", "paste", "take", "invert", "unique_value", "shape", "to_text"]
+__all__ = ["derive", "inc", "exc", "one_or_none", "find", "keep", "minus", "matching", "get", "relabel", "do", "if_else", "if_none", "sort_by", "concat", "listby", "groupby", "ungroup", "unlist", "pivot", "unpivot", "paste", "take", "invert", "unique_value", "shape", "to_text", "without", "either"]
 
 
 # -- columns --------------------------------------------------------------------
@@ -41,6 +41,21 @@ def matching(df: DataFrame, text: str) -> DataFrame:
     return df.select(*[c for c in df.columns if text in c])
 
 
+def without(df: DataFrame, test) -> DataFrame:
+    """Without the columns of a Spark type (or several), or those whose field passes a predicate."""
+    gone = test if callable(test) and not isinstance(test, type) else lambda f: isinstance(f.dataType, test)
+    return df.select(*[f.name for f in df.schema if not gone(f)])
+
+
+def either(left: DataFrame, right: DataFrame, keys) -> DataFrame:
+    """Columns of both by keys; where both have a column the right one's value wins unless it is null."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    theirs = {c: f"_r{i}" for i, c in enumerate(right.columns) if c not in keys}
+    both = left.join(right.withColumnsRenamed(theirs), keys, "left")
+    shared = [c for c in left.columns if c in theirs]
+    return both.select(*[F.coalesce(F.col(theirs[c]), F.col(c)).alias(c) if c in shared else F.col(c) for c in left.columns], *[F.col(v).alias(c) for c, v in theirs.items() if c not in shared])
+
+
 def get(df: DataFrame, name: str, default=None) -> Column:
     """A column, or a constant where the frame lacks it."""
     return F.col(name) if name in df.columns else F.lit(default)
@@ -185,10 +200,7 @@ def find(df: DataFrame, name: str, *conditions, **filters):
 
 
 def take(df: DataFrame, order, start: int = 0, stop: int | None = None) -> DataFrame:
-    """Rows by place in an order; a top-k plan when it begins at the top.
-
-    Places are counted by partition first, so that no single task sorts the whole.
-    """
+    """Rows by place in an order: a global sort with limit and offset; with a stop, a top-k plan."""
     order = [order] if isinstance(order, str | Column) else list(order)
     if start == 0 and stop is not None:
         return df.orderBy(*order).limit(stop)
@@ -228,10 +240,11 @@ def paste(left: DataFrame, right: DataFrame, left_order, right_order) -> DataFra
     Places are numbered over the whole of each side, which a single task does for
     the order's keys; use a keyed join wherever there is a key.
     """
-    spare = [c for c in left.columns if c not in right.columns]
-    a = left.select(*spare, F.row_number().over(Window.orderBy(*_list(left_order))).alias("_place"))
-    b = right.withColumn("_place", F.row_number().over(Window.orderBy(*_list(right_order))))
-    return a.join(b, "_place", "full").drop("_place")
+    rest = [c for c in left.columns if c not in right.columns]
+    place = spare(right, spare(left, "_place"))
+    a = left.select(*rest, F.row_number().over(Window.orderBy(*_list(left_order))).alias(place))
+    b = right.withColumn(place, F.row_number().over(Window.orderBy(*_list(right_order))))
+    return a.join(b, place, "full").drop(place)
 
 
 def _list(x):
@@ -253,8 +266,9 @@ def listby(df: DataFrame, *by: str, order=None) -> DataFrame:
     rest = [c for c in df.columns if c not in by]
     if not rest:
         return df.distinct()
-    g = df.groupBy(*by).agg(_rows(df, rest, order).alias("_rows"))
-    return g.select(*by, *[F.col("_rows").getField(c).alias(c) for c in rest])
+    packed = spare(df, "_rows")
+    g = df.groupBy(*by).agg(_rows(df, rest, order).alias(packed))
+    return g.select(*by, *[F.col(packed).getField(c).alias(c) for c in rest])
 
 
 def groupby(df: DataFrame, *by: str, grp: str = "grp", order=None) -> DataFrame:
@@ -278,25 +292,34 @@ def unlist(df: DataFrame, *names: str) -> DataFrame:
     size = F.size(arrays[0])
     equal = reduce(lambda a, b: a & b, [F.size(c) == size for c in arrays], F.lit(True))
     zipped = F.when(F.assert_true(equal, F.lit("arrays of unequal lengths")).isNull(), F.arrays_zip(*arrays))
-    out = df.withColumn("_zip", F.explode(zipped))
-    return out.select(*[F.col(f"_zip.{c}").alias(c) if c in arrays else F.col(c) for c in df.columns])
+    name = spare(df, "_zip")
+    out = df.withColumn(name, F.explode(zipped))
+    return out.select(*[F.col(f"{name}.{c}").alias(c) if c in arrays else F.col(c) for c in df.columns])
+
+
+#: Columns that a pivot makes at most from values that were not stated.
+HEADERS = 1_000
 
 
 def pivot(df: DataFrame, x, y: str, z, agg: Callable | None = None, values: list | None = None) -> DataFrame:
     """Rows by ``x``, columns by the values of ``y``, cells of ``z``.
 
     Without ``agg`` a cell is the array of its values, null if there is none.  Give
-    ``values`` wherever they are known: it saves a job and fixes the schema.
+    ``values`` wherever they are known: it saves a job and fixes the schema.  Without
+    them at most HEADERS values are read; more raise.
     """
     x = [x] if isinstance(x, str) else list(x)
     cell = expression(z, df.columns) if not isinstance(z, str) else F.col(z)
     if values is None:
-        values = [r[0] for r in df.select(y).distinct().orderBy(y).collect()]
-    g = df.withColumn("_z", cell).groupBy(*x).pivot(y, values)
+        values = [r[0] for r in df.select(y).distinct().orderBy(y).limit(HEADERS + 1).collect()]
+        if len(values) > HEADERS:
+            raise ValueError(f"more than {HEADERS} values of {y}")
+    name = spare(df, "_z")
+    g = df.withColumn(name, cell).groupBy(*x).pivot(y, values)
     if agg is not None:
-        return g.agg(agg(F.col("_z"))).orderBy(*x)
-    out = g.agg(F.collect_list("_z"))
-    return out.select(*x, *[F.when(F.size(f"`{c}`") > 0, F.col(f"`{c}`")).alias(c) for c in out.columns[len(x) :]]).orderBy(*x)
+        return g.agg(agg(F.col(name)))
+    out = g.agg(F.collect_list(name))
+    return out.select(*x, *[F.when(F.size(f"`{c}`") > 0, F.col(f"`{c}`")).alias(c) for c in out.columns[len(x) :]])
 
 
 def unpivot(df: DataFrame, x, y, z: str) -> DataFrame:

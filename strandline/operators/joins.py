@@ -38,6 +38,14 @@ def _side(df: DataFrame, keys: list, tag: str) -> DataFrame:
     return df.select(*made, *[F.col(c).alias(f"{tag}{i}") for i, c in enumerate(df.columns)])
 
 
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join on equal names in which null meets null; keys come once, from the left side."""
+    theirs = {c: f"_n{i}" for i, c in enumerate(keys)}
+    on = reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(n)) for c, n in theirs.items()])
+    out = left.join(right.withColumnsRenamed(theirs), on, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*theirs.values())
+
+
 def _both(left: DataFrame, right: DataFrame, lcols, rcols, mode, how: str, defaults: dict | None = None) -> DataFrame:
     keys = _keys(left, right, lcols, rcols)
     if not keys:
@@ -148,4 +156,4 @@ def join_all(inputs: dict, on, renames: dict[str, str] | None = None, defaults:
     constants = {k: F.lit(v) for k, v in inputs.items() if not isinstance(v, DataFrame)}
     out = out.withColumns(constants) if constants else out
     keys = [c for c in on if c in out.columns]
-    return out.select(*keys, *inputs).orderBy(*keys)
+    return out.select(*keys, *inputs)

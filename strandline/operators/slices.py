@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .fill import frames, values_of
 
@@ -31,14 +35,75 @@ def second_of_day(c: Column) -> Column:
     return F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
 
 
-def time_of_day(df: DataFrame, idx: str, low: int, high: int, ends: str = "(]") -> DataFrame:
-    """Rows between two seconds of the day; past midnight if low is above high."""
-    s = second_of_day(F.col(idx))
+def time_in_day(c: Column) -> Column:
+    """Seconds of the day with their fraction."""
+    return F.hour(c) * 3600 + F.minute(c) * 60 + F.extract(F.lit("SECOND"), c).cast("double")
+
+
+def time_of_day(df: DataFrame, idx: str, low: float, high: float, ends: str = "(]") -> DataFrame:
+    """Rows between two seconds of the day, fractions included.
+
+    Past midnight, if low is above high, both parts are "(]" whatever ``ends`` says.
+    """
+    s = time_in_day(F.col(idx))
     if low <= high:
         return df.where(bounds(s, low, high, ends))
     return df.where((s > low) | (s <= high))
 
 
+def is_ascending(values: list) -> bool:
+    """True for bounds that never fall, False for ones that never rise; others raise.  None may stand at the ends."""
+    known = [v for v in values if v is not None]
+    inner = values[next((i for i, v in enumerate(values) if v is not None), 0) : len(values) - next((i for i, v in enumerate(reversed(values)) if v is not None), 0)]
+    if len(inner) != len(known):
+        raise ValueError("a bound is missing between others")
+    if all(a <= b for a, b in zip(known, known[1:], strict=False)):
+        return True
+    if all(a >= b for a, b in zip(known, known[1:], strict=False)):
+        return False
+    raise ValueError("bounds neither rise nor fall")
+
+
+def cut(series, idx: str, low=None, high=None, ends: str = "(]", depth: int = 1, by=()) -> DataFrame:
+    """One operator for all kinds of bounds.
+
+    Scalars give a range and ``datetime.time`` bounds a time of day.  Lists, one bound
+    for each of a list of series, stitch them: series k counts from the bound before it
+    up to its own (upper bounds), or from its own up to the next one (lower bounds).
+    Descending bounds stand for the reversed lists.  ``depth`` asks for the next series
+    as columns "0", "1", ...
+    """
+    if isinstance(low, datetime.time) or isinstance(high, datetime.time):
+        at = lambda t, otherwise: otherwise if t is None else t.hour * 3600 + t.minute * 60 + t.second + t.microsecond / 1e6
+        return time_of_day(series, idx, at(low, -1.0), at(high, 86400.0), ends)
+    if not isinstance(low, list) and not isinstance(high, list):
+        return between(series, idx, low, high, ends)
+    series, known = list(series), low if isinstance(low, list) else high
+    if len(series) != len(known):
+        raise ValueError("one bound for each series")
+    if not is_ascending(known):
+        series, known = series[::-1], known[::-1]
+    spark = series[0].sparkSession
+    if isinstance(low, list):  # series k ends where the next one begins
+        until = [*known[1:], None]
+        first = known[0]
+    else:
+        until, first = list(known), None
+    # an end that is open lies after everything
+    kind = series[0].schema[idx].dataType
+    chain = spark.createDataFrame([(k, u) for k, u in enumerate(until)], T.StructType([T.StructField("_series", T.IntegerType()), T.StructField("_until", kind)]))
+    value = values_of(series[0], idx, by)[0]
+    rows = reduce(DataFrame.unionByName, [s.select(*by, idx, F.lit(k).alias("_series"), F.col(value).alias("_value")) for k, s in enumerate(series)])
+    w = Window.orderBy("_series")  # the chain alone: a row for each series
+    slots = F.array(*[F.struct(F.lit(k).alias("slot"), F.lag("_until", k + 1).over(w).alias("low"), F.lag("_until", k).over(w).alias("high"), (F.row_number().over(w) > k).alias("there")) for k in range(depth)])
+    spans = chain.select("_series", slots.alias("_s")).select("_series", F.inline("_s")).where("there")
+    joined = rows.join(spans, "_series")
+    inside = (F.col("low").isNull() | bounds(F.col(idx), F.col("low"), None, ends)) & (F.col("high").isNull() | bounds(F.col(idx), None, F.col("high"), ends))
+    if first is not None:
+        inside = inside & bounds(F.col(idx), first, None, ends)
+    return joined.where(inside).groupBy(*by, idx).pivot("slot", list(range(depth))).agg(F.first("_value"))
+
+
 def stitch(series: DataFrame, chain: DataFrame, idx: str, contract: str, until: str, depth: int = 1, ends: str = "(]", by=()) -> DataFrame:
     """A curve of the next ``depth`` contracts from a chain of expiring ones.
 
@@ -61,13 +126,20 @@ def stitch(series: DataFrame, chain: DataFrame, idx: str, contract: str, until:
 
 
 def unstitch(curve: DataFrame, chain: DataFrame, idx: str, contract: str, until: str, depth: int = 1, ends: str = "(]", value: str = "value") -> DataFrame:
-    """The contracts' own values, back from a curve made by stitch."""
+    """The contracts' own values, back from a curve made by stitch.
+
+    The spans of the front contracts become days, so that the curve joins by equal
+    days; what lies before the first end meets the first contract.
+    """
     long = curve.unpivot([idx], [str(k) for k in range(depth)], "_slot", value).where(F.col(value).isNotNull())
     w = Window.orderBy(until)  # the chain alone: a row for each contract
     numbered = chain.select(contract, until, F.row_number().over(w).alias("_n"), F.lag(until).over(w).alias("_low"))
-    front = numbered.select(F.col("_n").alias("_front"), F.col("_low"), F.col(until).alias("_high"))
+    begin = chain.agg(F.min(until)).first()[0]
+    day = F.col(idx).cast("date") if begin is None else F.greatest(F.col(idx).cast("date"), F.lit(begin).cast("date"))
+    days = F.sequence(F.coalesce(F.col("_low"), F.col(until)).cast("date"), F.col(until).cast("date"))
+    front = numbered.select(F.col("_n").alias("_front"), "_low", F.col(until).alias("_high"), F.explode(days).alias("_day"))
     inside = (F.col("_low").isNull() | bounds(F.col(idx), F.col("_low"), None, ends)) & bounds(F.col(idx), None, F.col("_high"), ends)
-    at = long.join(front, inside)
+    at = long.withColumn("_day", day).join(front, "_day").where(inside)
     return at.join(numbered.select(contract, "_n"), F.col("_n") == F.col("_front") + F.col("_slot").cast("int")).select(contract, idx, value)
 
 
@@ -140,4 +212,4 @@ def one_per_index(df: DataFrame, idx: str, order, by=(), keep: str = "last") ->
     return g.select(*by, idx, "_r.*").select(*df.columns)
 
 
-__all__ = ["bounds", "between", "second_of_day", "time_of_day", "stitch", "unstitch", "roll", "infer_until", "gap_days", "after_issue", "degap", "one_per_index", "values_of"]
+__all__ = ["bounds", "between", "cut", "is_ascending", "second_of_day", "time_in_day", "time_of_day", "stitch", "unstitch", "roll", "infer_until", "gap_days", "after_issue", "degap", "one_per_index", "values_of"]

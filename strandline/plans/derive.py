@@ -100,6 +100,12 @@ def try_value(build: Callable[[], Column], otherwise) -> Column:
         return otherwise if isinstance(otherwise, Column) else F.lit(otherwise)
 
 
+def tried(build: Callable[[], Column]) -> dict:
+    """A column that may fail to build, with each of the usual stand-ins, by name."""
+    stand_ins = {"nan": float("nan"), "zero": 0.0, "none": None, "true": True, "false": False, "list": F.array()}
+    return {k: try_value(build, v) for k, v in stand_ins.items()}
+
+
 def if_not_none(function: Callable[[Column], Column]) -> Callable[[Column], Column]:
     """Apply a Column function only where its argument is not null."""
     return lambda c: F.when(c.isNotNull(), function(c))

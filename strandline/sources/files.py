@@ -13,6 +13,8 @@ from ..functions.missing import text_to_null
 from ..functions.text import as_float
 from ..operators.frame import header
 
+#: Rows of an array that a task reads at a time.
+ROWS = 1 << 16
 #: Suffixes that Spark reads on its executors.
 FORMATS = {".parquet": "parquet", ".orc": "orc", ".json": "json", ".csv": "csv"}
 
@@ -53,6 +55,9 @@ def write(df: DataFrame, path: str, mode: str = "overwrite", by=(), **options) -
     if kind in (".xlsx", ".xls"):
         write_excel(df, path, **options)
         return
+    if kind == ".npy":
+        write_npy(df, path, **options)
+        return
     w = df.write.mode(mode).options(**options)
     if kind == ".csv":
         w = w.option("header", True)
@@ -100,8 +105,10 @@ def read_excel(spark: SparkSession, path: str, sheet: str | int = 0, **rules) ->
     path, _, named = path.partition("!")
     table = pd.read_excel(path, sheet_name=named or sheet, dtype=str)
     schema = ", ".join(f"`{c}` string" for c in map(str, table.columns))
-    rows = [tuple(None if v is None or v != v else str(v) for v in r) for r in table.itertuples(index=False)]
-    return clean_sheet(spark.createDataFrame(rows, schema), **rules)
+    import pyarrow as pa
+
+    cells = pa.table([pa.array([None if v is None or v != v else str(v) for v in table.iloc[:, k]], pa.string()) for k in range(table.shape[1])], list(map(str, table.columns)))
+    return clean_sheet(spark.createDataFrame(cells, schema), **rules)
 
 
 def write_excel(df: DataFrame, path: str, sheet: str = "Sheet1", most_rows: int = 1_000_000) -> None:
@@ -113,13 +120,37 @@ def write_excel(df: DataFrame, path: str, sheet: str = "Sheet1", most_rows: int
 
 
 def read_npy(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """A one- or two-dimensional array as rows with their number in ``i``."""
+    """A one- or two-dimensional array as rows with their number in ``i``.
+
+    Tasks map the file and read ROWS rows at a time, so it must lie where they all see it.
+    """
     import numpy as np
 
     a = np.load(path, allow_pickle=False, mmap_mode="r")
-    a = a.reshape(len(a), -1)
-    names = columns or [f"c{k}" for k in range(a.shape[1])]
-    return spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(a)], ", ".join(["i long", *[f"`{n}` double" for n in names]]))
+    n, width = len(a), int(np.prod(a.shape[1:], dtype=int))
+    names = columns or [f"c{k}" for k in range(width)]
+
+    def run(batches):
+        import pyarrow as pa
+
+        mapped = np.load(path, allow_pickle=False, mmap_mode="r")
+        for batch in batches:
+            for first in batch.column(0).to_pylist():
+                part = np.asarray(mapped[first : first + ROWS], float).reshape(-1, width)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(part))), *map(pa.array, np.ascontiguousarray(part.T))], ["i", *names])
+
+    schema = ", ".join(["i long", *[f"`{k}` double" for k in names]])
+    return spark.range(0, n, ROWS, max(1, min(256, -(-n // ROWS)))).mapInArrow(run, schema)
+
+
+def write_npy(df: DataFrame, path: str, order, columns: list[str] | None = None, most_rows: int = 10_000_000) -> None:
+    """Numeric columns in an order as an array in one file; more rows raise before anything is collected."""
+    import numpy as np
+
+    if df.limit(most_rows + 1).count() > most_rows:
+        raise ValueError("too many rows for one array")
+    table = df.orderBy(*([order] if isinstance(order, str) else order)).select(*(columns or df.columns)).toArrow()
+    np.save(path, np.column_stack([c.to_numpy() for c in table.columns]), allow_pickle=False)
 
 
 def table(spark: SparkSession, rows=None, schema: str | None = None, **columns) -> DataFrame:

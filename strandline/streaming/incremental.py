@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import join_all
+from ..operators.joins import join_all, null_safe
 from ..plans.derive import bind
 
 
@@ -85,25 +85,50 @@ def resume(function: Callable[..., DataFrame], idx: str, data: DataFrame | None,
     ends = data.groupBy(*by).agg(F.max(idx).alias("_end"))
 
     def cut(df: DataFrame, keep: Callable[[Column, Column], Column]) -> DataFrame:
-        return df.join(ends, by, "left").where(F.col("_end").isNull() | keep(F.col(idx), F.col("_end"))).drop("_end")
+        return null_safe(df, ends, by, "left").where(F.col("_end").isNull() | keep(F.col(idx), F.col("_end"))).drop("_end")
 
     old = cut(data, lambda t, e: t < e) if redo_last else data
     new = [cut(s, (lambda t, e: t >= e) if redo_last else (lambda t, e: t > e)) for s in series]
     return old.unionByName(function(*new), allowMissingColumns=True)
 
 
-def merge_stream(stream: DataFrame, path: str, checkpoint: str, combine: Callable[[DataFrame | None, DataFrame], DataFrame], trigger: dict | None = None):
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def merged(spark: SparkSession, path: str, by: str, before: int | None = None) -> DataFrame | None:
+    """The table that merge_stream keeps by partition (of batches before a number); None if there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where):
+        return None
+    rows = spark.read.parquet(path)
+    rows = rows if before is None else rows.where(F.col("version") < before)
+    last = rows.groupBy(by).agg(F.max("version").alias("version"))  # reads partition names alone
+    return rows.join(last, [by, "version"], "left_semi").drop("version")
+
+
+def merge_stream(stream: DataFrame, path: str, checkpoint: str, combine: Callable[[DataFrame | None, DataFrame], DataFrame], trigger: dict | None = None, by: str | None = None):
     """Fold each micro-batch of a stream into a stored table by ``combine(old, batch)``.
 
     Every batch writes a version beside the old one, so a batch that is run again
-    starts from the version before it.  A combine that changes only some partitions
-    should write those alone.
+    starts from the version before it; older ones are deleted.  With ``by`` a batch
+    reads and writes only the partitions that its rows fall into, and the table is
+    what ``merged`` reads: the last version of each partition.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.parquet(f"{path}/version={number - 1}") if number else None
-        combine(old, batch).write.mode("overwrite").parquet(f"{path}/version={number}")
+        if by is None:
+            old = spark.read.parquet(f"{path}/version={number - 1}") if number else None
+            combine(old, batch).write.mode("overwrite").parquet(f"{path}/version={number}")
+            _delete(spark, f"{path}/version={number - 2}")
+            return
+        touched = batch.select(by).distinct()
+        old = merged(spark, path, by, number)
+        old = old.join(touched, by, "left_semi") if old is not None else None
+        new = combine(old, batch).withColumn("version", F.lit(number))
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by, "version").parquet(path)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
