@@ -43,6 +43,24 @@ def settle(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return out
 
 
+#: Rows in a batch that goes to a Python worker; ten thousand whole texts are too many at once.
+BATCH_ROWS = 500
+
+
+def _steady() -> None:
+    """Let large arrays of this process go back to the system as soon as they are freed.
+
+    Without it the C library keeps ever larger ones in its heap.
+    """
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 19)  # M_MMAP_THRESHOLD
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+_steady()
+
+
 def trim() -> None:
     """Give freed memory of this Python worker back to the system."""
     pa.default_memory_pool().release_unused()
@@ -123,6 +141,8 @@ def onto(rows: DataFrame, one: DataFrame, key: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of whole texts; batches to Python workers are kept small in its session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

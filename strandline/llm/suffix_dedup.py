@@ -53,7 +53,7 @@ RUN = 16
 #: Occurrences of an anchor from which its windows are counted one by one.
 HOT = 20_000
 #: Bytes of text in a block (a longer text is a block of its own).
-BLOCK = 6 << 20
+BLOCK = 4 << 20
 #: Symbols in one suffix array.
 SYMBOLS = 1 << 16
 
@@ -322,11 +322,15 @@ def _records(data, off, kind: np.ndarray, place, lo, hi):
 
 def _sides(data, off, cores: np.ndarray) -> np.ndarray:
     """The RUN - 1 bytes before and after each core; 0 beyond the row."""
-    row = np.searchsorted(off, cores, "right") - 1
     shift = np.concatenate([np.arange(1 - RUN, 0), np.arange(LENGTH - RUN + 1, LENGTH)])
-    at = cores[:, None] + shift
-    ok = (at >= off[row][:, None]) & (at < off[row + 1][:, None])
-    return np.where(ok, data[np.clip(at, 0, len(data) - 1)], 0).astype(np.uint8)
+    out = np.empty((len(cores), len(shift)), np.uint8)
+    for a in range(0, len(cores), 1 << 14):
+        part = cores[a : a + (1 << 14)]
+        row = np.searchsorted(off, part, "right") - 1
+        at = part[:, None] + shift
+        ok = (at >= off[row][:, None]) & (at < off[row + 1][:, None])
+        out[a : a + len(part)] = np.where(ok, data[np.clip(at, 0, len(data) - 1)], 0)
+    return out
 
 
 def _send_strings(text: int, buckets: int, folder: str):
@@ -437,16 +441,17 @@ def remove(docs: DataFrame, id_col: str, text_col: str, finish, fields: str, hot
     store.create_dir(path, recursive=True)
     blocks = settle(docs.mapInArrow(_send_anchors(text, buckets, folder), _SCHEMA))
     heads = blocks.where("bucket < 0")
-    kinds = blocks.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _judge_anchors(t, hot), _SCHEMA)
-    strings = heads.union(kinds).groupBy("block").applyInArrow(_send_strings(text, buckets, folder), _SCHEMA)
-    masks = strings.groupBy("bucket").applyInArrow(lambda t: _judge_strings(t), _SCHEMA)
+    # small rows stand for much work: the numbers of parts are stated, not left to their bytes
+    kinds = blocks.where("bucket >= 0").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _judge_anchors(t, hot), _SCHEMA)
+    strings = heads.union(kinds).repartition(buckets, "block").groupBy("block").applyInArrow(_send_strings(text, buckets, folder), _SCHEMA)
+    masks = strings.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _judge_strings(t), _SCHEMA)
 
     def last(t: pa.Table) -> pa.Table:
         out = finish(*_removed(t, text, folder))
         trim()
         return out
 
-    return heads.union(masks).groupBy("block").applyInArrow(last, fields)
+    return heads.union(masks).repartition(buckets, "block").groupBy("block").applyInArrow(last, fields)
 
 
 def _spans(off, gone) -> np.ndarray:
