@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from .shared import cuts_of, lean, settle, trim
-from .textkit import _BASE, planes, slices, unplanes, word_bounds, word_hashes
+from .textkit import _BASE, gathered, planes, slices, unplanes, word_bounds, word_hashes
 
 #: Bytes of text in a block (a longer text is a block of its own).
 BLOCK = 4 << 20
@@ -283,7 +283,7 @@ def _blocks(buckets: int):
     def run(batches):
         import pandas as pd
 
-        for batch, data, off in slices(batches, 1, BLOCK):
+        for batch, data, off in slices(gathered(batches, 1, BLOCK), 1, 2 * BLOCK):
             starts, ends, counts = word_bounds(data, off)
             hashes = word_hashes(data, starts, ends)
             codes, uniques = pd.factorize(hashes)

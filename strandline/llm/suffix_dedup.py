@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cuts_of, lean, settle, shared_dir, trim
-from .textkit import SLICE, _ipw, _pw, mix, planes, ragged, slices, text_buffer, unplanes
+from .textkit import SLICE, _ipw, _pw, gathered, mix, planes, ragged, slices, text_buffer, unplanes
 
 LENGTH = 200
 GRAM = 32
@@ -286,7 +286,7 @@ def _distinct(h: np.ndarray, buckets: int):
 
 def _send_anchors(text: int, buckets: int, folder: str):
     def run(batches):
-        for batch, data, off in slices(batches, text, BLOCK):
+        for batch, data, off in slices(gathered(batches, text, BLOCK), text, 2 * BLOCK):
             name = uuid.uuid4().int >> 66
             _freeze(batch, f"{folder}/{name}.rows")
             u, n, _, cuts = _distinct(anchors(data, off)[1], buckets)

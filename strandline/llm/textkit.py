@@ -84,6 +84,19 @@ def slices(batches, text_index: int, limit: int = 1 << 20) -> Iterator[tuple[pa.
             at = to
 
 
+def gathered(batches, text_index: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in batches of at least ``limit`` bytes of text, but for the last."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(text_index).nbytes
+        if size >= limit:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and the number of words of each row."""
     n = len(data)
