@@ -88,7 +88,7 @@ def test_groups(spark):
     with pytest.raises(Exception, match="unequal"):
         frame.unlist(bad).collect()
     assert rows(frame.unlist(bad, "x"), "x") == [(1, [3], "k"), (2, [3], "k")]
-    p = frame.pivot(t.withColumn("o", F.col("o").cast("string")), "a", "o", "b", values=["1", "2"])
+    p = frame.pivot(t.withColumn("o", F.col("o").cast("string")), "a", "o", "b", values=["1", "2"]).orderBy("a")
     assert rows(p) == [(None, None, None), (1, [5], None)]
 
 
@@ -103,7 +103,7 @@ def test_joins(spark):
         joins.join(a, b, lambda k: k, lambda v: v)
     with pytest.raises(KeyError):
         joins.join_all({"z": a.withColumn("w", F.lit(1))}, "k")
-    assert rows(joins.join_all({"x": a.toDF("k", "x"), "y": b.toDF("k", "y")}, "k", defaults={"y": 0.5}).select("k", "y")) == [(None, 2.0), (1, 0.5)]
+    assert rows(joins.join_all({"x": a.toDF("k", "x"), "y": b.toDF("k", "y")}, "k", defaults={"y": 0.5}).orderBy("k").select("k", "y")) == [(None, 2.0), (1, 0.5)]
 
 
 # -- series ----------------------------------------------------------------------------
@@ -374,3 +374,65 @@ def test_streams(spark, tmp_path):
     assert last == 1 and spark.read.parquet(f"{out}/version={last}").count() == 3
     w = incremental.windowed(stream(), "idx", "2 days", "1 day", total=F.sum("v"))
     assert w.isStreaming and w.columns == ["start", "end", "total"]
+
+
+def test_null_keys_are_keys_of_series(spark):
+    left = spark.createDataFrame([(None, 1, 1.0), (None, 3, 2.0), ("a", 2, 3.0)], "k string, t int, v double")
+    right = spark.createDataFrame([(None, 2, 10.0), ("a", 1, 20.0)], "k string, t int, w double")
+    got = {(r.k, r.t): r.w for r in align.recent(left, right, "t", ["k"]).collect()}
+    assert got == {(None, 1): None, (None, 3): 10.0, ("a", 2): 20.0}
+    assert align.joint_index([left, left.where("t > 1")], "t", "inner", ["k"]).count() == 2
+    old = left.where("t < 3").withColumn("v", F.lit(-1.0))
+    from strandline.streaming import incremental
+
+    assert sorted(map(str, incremental.resume(lambda x: x, "t", old, left, by=["k"]).collect())) == sorted(map(str, [left.first(), *left.where("t > 1").collect()]))
+
+
+def test_times_of_day_have_fractions(spark):
+    t = spark.sql("select id, timestamp_ntz'2024-01-01 22:00:00' + make_dt_interval(0, 0, 0, id * 0.5) as ts from range(4)")
+    assert [r.id for r in slices.time_of_day(t, "ts", 22 * 3600, 2 * 3600).orderBy("id").collect()] == [1, 2, 3]
+    assert [r.id for r in slices.time_of_day(t, "ts", 22 * 3600, 22 * 3600 + 1).orderBy("id").collect()] == [1, 2]
+
+
+def test_bounds_that_neither_rise_nor_fall():
+    assert slices.is_ascending([None, 1, 1, 3, None]) and not slices.is_ascending([3, 2, None])
+    for bad in ([1, 3, 2], [1, None, 2]):
+        with pytest.raises(ValueError):
+            slices.is_ascending(bad)
+
+
+def test_wrappers_collapse():
+    from strandline.plans import tooling
+
+    class Note(tooling.Wrapper):
+        def run(self, *a):
+            return self.function(*a) + self.options["note"]
+
+    class Twice(tooling.Wrapper):
+        def run(self, *a):
+            return self.function(*a) * 2
+
+    one = Note(Twice(Note(str.lower, note="!")), note="?")
+    assert one("A") == "aa?" and isinstance(one.function, Twice) and one.function.function is str.lower
+    assert Note(note="#")(str.upper)("b") == "B#" and "note='?'" in repr(one) and one.__name__ == "lower"
+    with pytest.raises(KeyError):
+        tooling.Picked(lambda a: a, strict=True)({"b": 1})
+    assert tooling.Picked(lambda a, b: (a, b), remap={"b": "x"})({"a": 1}, {"x": 2}) == (1, 2)
+
+
+def test_streams_write_the_partitions_that_change(spark, tmp_path):
+    from strandline.streaming import incremental
+
+    folder = str(tmp_path)
+    for k, part in enumerate((["a", "b"], ["b"], ["c", "b"])):
+        spark.createDataFrame([(p, k) for p in part], "p string, k int").coalesce(1).write.parquet(f"{folder}/in/{k}")
+    stream = spark.readStream.schema("p string, k int").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+
+    def combine(old, new):
+        new = new.groupBy("p").agg(F.count("*").alias("n"))
+        both = new if old is None else new.unionByName(old)
+        return both.groupBy("p").agg(F.sum("n").alias("n"))
+
+    incremental.merge_stream(stream, f"{folder}/out", f"{folder}/log", combine, by="p").awaitTermination()
+    assert sorted(map(tuple, incremental.merged(spark, f"{folder}/out", "p").select("p", "n").collect())) == [("a", 1), ("b", 3), ("c", 1)]
+    assert spark.read.parquet(f"{folder}/out").where("p = 'a'").select("version").distinct().count() == 1
