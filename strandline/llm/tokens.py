@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import functions as F
 
+from .bpe import ChunkCache, encode_rows
 from .shared import dealt, lean, shared_dir
 from .textkit import ragged, slices
 
@@ -140,26 +141,26 @@ class Reader:
         return self.tokens(int(self.starts[i]), int(self.starts[i + 1]))
 
 
-#: Bytes of text that the library gets at a time (a longer text alone).
-PART = 1 << 20
-
-
 @functools.cache
 def _library(path: str):
-    """The library's tokenizer on one thread, without truncation and padding."""
+    """The library's tokenizer on one thread, without truncation and padding, and the cache
+    of a worker: texts are cut between words, and every new chunk goes through all of the
+    library's steps.  Texts that may hold special tokens go through it whole.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
-    return tok
+    return tok, ChunkCache(lambda chunks: encode_whole(tok, chunks)), lambda text: encode_whole(tok, [text])[0]
 
 
 def encode_whole(tok, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of whole texts in one array, and their number by text."""
-    found = [np.array(e.ids, np.int64) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-    return np.concatenate([np.empty(0, np.int64), *found]), np.fromiter(map(len, found), np.int64, len(found))
+    """Ids of texts by the library in one array, and their number by text."""
+    found = [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    n = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter((x for ids in found for x in ids), np.int32, int(n.sum())), n
 
 
 def write(df, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", out_uri: str | None = None):
@@ -178,13 +179,13 @@ def write(df, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "t
     def run(batches):
         from pyspark import TaskContext
 
-        tok = _library(path)
+        tok, cache, whole = _library(path)
         out = None
-        for batch, _, _ in slices(batches, 1, PART):
+        for batch, data, off in slices(batches, 1):
             if out is None:
                 name = f"{folder}/shard-{TaskContext.get().partitionId():07d}-{uuid.uuid4().hex}.tok"
                 out = Writer(name, width(tok.get_vocab_size()))
-            ids, n = encode_whole(tok, [x or "" for x in batch.column(1).to_pylist()])
+            ids, n = encode_rows(cache, whole, data, off)
             full = np.full(len(ids) + len(n), end_id, np.int64)
             begins = np.cumsum(n) - n
             full[ragged(n, begins + np.arange(len(n)))] = ids
