@@ -213,6 +213,14 @@ def guarded_columns(spark, sf):
     return t.select("c_custkey", up.alias("up"), derive.try_value(lacking, "none").alias("fallback"), derive.tried(lacking)["zero"].alias("zero"), derive.tried(lambda: F.col("c_acctbal"))["none"].alias("kept"), some.alias("some"))
 
 
+@query("select l_orderkey, l_linenumber, round(l_quantity * 2 + 10 + 1, 6) as l_quantity, round(l_tax * 3 + 20 + 1, 6) as l_tax, round(greatest(l_quantity * 2 + 11, l_tax * 3 + 21), 6) as top from lineitem")
+def looped_columns(spark, sf):
+    t = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax")
+    values = ["l_quantity", "l_tax"]
+    t = frame.loop(t, lambda c, times, plus, one: F.round(c * times + plus + one, 6), {"l_tax": 3, "l_quantity": 2}, [10, 20], 1, columns=values)
+    return frame.loop(t, lambda cells: F.greatest(*cells), columns=values, axis=1, name="top")
+
+
 # -- names and wrappers -------------------------------------------------------------------
 @query("select * from (values ('join', 'a,b,c,d'), ('meet', 'b'), ('less', 'a,c'), ('back', 'd'), ('with', 'b'), ('type', 'a'), ('value', 'a,c')) t(op, names)")
 def name_algebra(spark, sf):
@@ -396,6 +404,12 @@ def bump_kinds(spark, sf):
     return spark.createDataFrame(rows, "bump string, is_bump boolean, opposite string")
 
 
+@query("select event_id, round((ts::date - date '0001-01-01' + 1) + (epoch_us(ts) % 86400000000 // 1000000) / 86400.0, 8) as days, round((ts::date - date '1900-01-01') // 7 * 5 + case when isodow(ts) > 5 and month(ts + to_days((8 - isodow(ts))::int)) <> month(ts) then 4 else least(isodow(ts) - 1, 5) end + case when isodow(ts) > 5 then 0 else (epoch_us(ts) % 86400000000 // 1000000) / 86400.0 end, 8) as weekdays, null::double as none from events")
+def intraday_clocks(spark, sf):
+    t = F.col("ts")
+    return read(spark, sf, "events").select("event_id", F.round(dates.clock(t, "f"), 8).alias("days"), F.round(dates.clock(t, "k"), 8).alias("weekdays"), dates.clock(t, None).alias("none"))
+
+
 _SESSION_HOLIDAYS = ("2024-01-01", "2024-01-15", "2024-01-16")
 _SESSION_DAYS = "with days as (select unnest(range(date '2023-12-01', date '2024-03-01', interval 1 day))::date as day), cal as (select day, isodow(day) < 6 and day not in (" + ", ".join(f"date '{h}'" for h in _SESSION_HOLIDAYS) + ") as b from days), nxt as (select day, b, min(case when b then day end) over (order by day rows between current row and unbounded following) as f, max(case when b then day end) over (order by day) as p from cal), e as (select event_id, ts, ts::date as day, epoch_us(ts) % 86400000000 // 1000000 as s from events) "
 

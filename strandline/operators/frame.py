@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.missing import is_float, is_nan, missing, spare
 from ..plans.derive import derive, expression, parameters
 
-__all__ = ["derive", "inc", "exc", "one_or_none", "find", "keep", "minus", "matching", "get", "relabel", "do", "if_else", "if_none", "sort_by", "concat", "listby", "groupby", "ungroup", "unlist", "pivot", "unpivot", "paste", "take", "invert", "unique_value", "shape", "to_text", "without", "either"]
+__all__ = ["derive", "inc", "exc", "one_or_none", "find", "keep", "minus", "matching", "get", "relabel", "do", "if_else", "if_none", "sort_by", "concat", "listby", "groupby", "ungroup", "unlist", "pivot", "unpivot", "paste", "take", "invert", "unique_value", "shape", "to_text", "without", "either", "loop"]
 
 
 # -- columns --------------------------------------------------------------------
@@ -108,6 +108,29 @@ def do(df: DataFrame, functions, *names: str) -> DataFrame:
     return df
 
 
+def loop(df: DataFrame, function: Callable, *others, columns=None, axis: int = 0, name: str = "value") -> DataFrame:
+    """A function of each column (axis 0), or of all columns of a row at once (axis 1).
+
+    Other arguments go along: a dict lends its member of the column's name, a list or
+    tuple the one at the column's place, anything else is the same for all.  On axis 1
+    the function gets the list of Columns and makes the column ``name``.
+    """
+    columns = list(columns or df.columns)
+    if axis == 1:
+        return df.withColumn(name, function([F.col(c) for c in columns], *others))
+
+    def of(other, i: int, c: str):
+        if isinstance(other, dict):
+            return other[c]
+        if isinstance(other, list | tuple):
+            if len(other) != len(columns):
+                raise ValueError(f"{len(other)} values for {len(columns)} columns")
+            return other[i]
+        return other
+
+    return df.withColumns({c: function(F.col(c), *[of(o, i, c) for o in others]) for i, c in enumerate(columns)})
+
+
 def if_else(df: DataFrame, condition, if_true, if_false) -> Column:
     """A conditional; each part is a column's name, a function of columns, or a Column."""
 
