@@ -57,7 +57,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import dealt, lean, light, onto, release, row_name, settle, tidy, trim, unused
+from .shared import dealt, lean, light, onto, release, row_name, settle, trim, unused
 from .textkit import mix, planes, ragged, shingle_hashes, slices, unplanes, word_bounds, word_hashes
 
 K = 5
@@ -553,7 +553,6 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     named = rows.select(row_name("id", "text").alias("row"), "id", "text")
     described = settle(named.select("row", "text", "id").mapInArrow(lean(_describe), f"row string, id {kind}, n long, node long, sketch binary"))
     met = _met(rows.select("text").mapInArrow(_send(buckets), _PACKED), buckets)
-    tidy(docs.sparkSession)
     sets = _Sets(named, described)
     pairs = sets.likely(met.where("kind = 0").select("a", "b"))
     links = _links(pairs, sets.of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import gc
 import tempfile
 import uuid
 
@@ -30,14 +29,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/strandline-{uuid.uuid4().hex}"
 
 
+#: Spark's switch for deleting an execution's shuffle files when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back.
 
-    This cuts the lineage: a lost executor costs a reread, not a recomputation.
+    This cuts the lineage: a lost executor costs a reread, not a recomputation.  The
+    shuffle files of the write go when it has ended, as the table stands in for them.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.settled = path
     return out
@@ -50,10 +59,12 @@ BATCH_ROWS = 500
 def _steady() -> None:
     """Let large arrays of this process go back to the system as soon as they are freed.
 
-    Without it the C library keeps ever larger ones in its heap.
+    Without it the C library keeps ever larger ones in its heap.  Those of a slice
+    (2 MB) stay in it until a task ends, as they come and go all the time.
     """
     try:
-        ctypes.CDLL(None).mallopt(-3, 1 << 19)  # M_MMAP_THRESHOLD
+        ctypes.CDLL(None).mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        ctypes.CDLL(None).mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
     except (AttributeError, OSError):  # another C library
         pass
 
@@ -95,12 +106,6 @@ def unused(columns, base: str) -> str:
     return base
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def release(*tables: DataFrame) -> None:
     """Delete settled tables once all that was made from them is settled itself."""
     for t in tables:

@@ -1,15 +1,19 @@
 """The queries' registration and the pipeline against plain Python on the smallest tables."""
 
 import hashlib
+import random
 
 import numpy as np
+import odd
 import pytest
 import test_dedup
 import test_models
 from helpers import canonical
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strandline.llm import queries
+from strandline.llm import langid, queries
+from strandline.llm.shared import crc_of_id
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -26,10 +30,31 @@ def test_sql_agrees(spark, duck, data):
         assert canonical(map(tuple, df.collect()), df.columns) == canonical(want.fetchall(), want.columns)
 
 
+def judgement(spark, data):
+    """The probability of each document's likeliest language, by a model fit anew."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = langid.fit(docs.where(crc_of_id() % 4 != 2), "lang", "text", F.col("doc_id"))
+    return {r.doc_id: r.score for r in langid.predict(docs, model).collect()}
+
+
+def test_language_stage_drops_mixtures(spark):
+    """Texts of four languages at once go, as do texts without letters; clean ones stay."""
+    g = random.Random(4)
+    parts = {"a": ["alpa", "bampa", "ganta"], "e": ["eleke", "senere", "denet"], "o": ["oloso", "bodoko", "zorom"], "u": ["ulusu", "muruk", "tupuh"]}
+    prose = lambda k, n: " ".join(g.choice(parts[k]) for _ in range(n))
+    rows = [(i, prose("aeou"[i % 4], 30), "aeou"[i % 4], "s", 1) for i in range(200)]
+    rows += [(1000 + i, " ".join(prose(k, 8) for k in "aeou"), None, "s", 1) for i in range(5)] + [(2000, "12 !", "a", "s", 1), (2001, None, None, "s", 1)]
+    kept = {r.doc_id for r in pipeline.language_id(spark, odd.frame(spark, rows), "").collect()}
+    assert kept == set(range(200))
+    bare = odd.frame(spark, [(i, t, None, s, n) for i, t, _, s, n in rows])
+    assert pipeline.language_id(spark, bare, "").count() == len(rows)
+
+
 def test_pipeline_against_brute_force(spark, data):
     got = {r.doc_id: r for r in pipeline.run(spark, data).collect()}
     docs = [tuple(r) for r in spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").collect()]
-    docs = [r for r in docs if r[1] and any(c.isalpha() for c in r[1])]
+    judged = judgement(spark, data)
+    docs = [r for r in docs if r[1] and any(c.isalpha() for c in r[1]) and judged[r[0]] >= pipeline.LEAST]
     _, root = test_dedup.rooted(docs)
     docs = [r for i, r in enumerate(docs) if root[i] == i]
     raw = [r[1].encode() for r in docs]
