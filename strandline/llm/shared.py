@@ -60,11 +60,11 @@ def _steady() -> None:
     """Let large arrays of this process go back to the system as soon as they are freed.
 
     Without it the C library keeps ever larger ones in its heap.  Those of a slice
-    (2 MB) stay in it until a task ends, as they come and go all the time.
+    (half a megabyte) stay in it, as they come and go all the time.
     """
     try:
-        ctypes.CDLL(None).mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
-        ctypes.CDLL(None).mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        ctypes.CDLL(None).mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
     except (AttributeError, OSError):  # another C library
         pass
 

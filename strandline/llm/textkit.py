@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes worked on at a time; bounds the 8-byte temporaries of the kernels.
-SLICE = 1 << 18
+SLICE = 1 << 16
 #: Bytes of a word that have a weight of their own; longer words are chained.
 REACH = 1 << 12
 
