@@ -14,33 +14,57 @@ from strandline.llm.queries import vocabulary
 from strandline.llm.shared import crc_of_id, settle, table
 
 
+#: The calibrated probability that the likeliest language of a document must reach:
+#: from here on it is more likely than all others together.
+LEAST = 0.5
+
+
 def language_id(spark, docs, sf_dir):
-    """Documents in which no language can be told (null, or without a letter) go."""
+    """Documents whose language cannot be told go.
+
+    Those are documents without a letter (null and empty ones among them) and those
+    in which no language is more likely than all others together.  Learned from the
+    labels in the table itself; without any label no document can be judged and all
+    stay.  Repeated rows are judged alike; no other column counts.
+    """
     model = langid.fit(docs.where(crc_of_id() % 4 != 2), "lang", "text", F.col("doc_id"))
+    if model is None:
+        return docs
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     out = langid.predict(plain, model, plain.columns[0], plain.columns[docs.columns.index("text")], tuple(plain.columns[1:]))
-    out = out.where("lang_pred <> 'und'") if model is not None else out
+    out = out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST))
     return out.select(*plain.columns).toDF(*docs.columns)
 
 
 def ngram_jaccard_join(spark, docs, sf_dir):
-    """One document of each group of near duplicates stays: the one of the smallest id."""
+    """One document of each group of near duplicates stays: the one of the smallest id.
+
+    Of equal ids the text of the least hash stays, of equal rows one; null ids come
+    last; texts without words link with nothing, and of such rows equal ones are one.
+    """
     return jaccard_join.one_of_each(docs)
 
 
 def suffix_array_dedup(spark, docs, sf_dir):
-    """Bytes of 200-byte strings that stand twice or more go from the texts."""
+    """Bytes of 200-byte strings that stand twice or more go from the texts.
+
+    All rows stay: null texts null, empty and short ones as they are, and a text that
+    loses all its bytes empty.  ``n_chars`` counts what is left.
+    """
     out = suffix_dedup.keep_rest(docs)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 
 def benchmark_decontamination(spark, docs, sf_dir):
-    """Documents that overlap with a benchmark item go."""
+    """Documents that overlap with a benchmark item go; null and empty texts overlap with none."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def bpe_encoding_and_decoding(spark, docs, sf_dir):
-    """Token ids of every document, with digests of ids and of the decoded text."""
+    """Token ids of every document, with digests of ids and of the decoded text.
+
+    A null or empty text has no ids and decodes to the empty text.
+    """
     return bpe.digests(docs, vocabulary("word_bpe_49k.json"), with_ids=True)
 
 
