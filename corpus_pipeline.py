@@ -1,8 +1,8 @@
 """A corpus pipeline: five stages, each one operator over all rows its predecessor kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
-Parquet and read again as the next stage's ``docs``.  All but the last return the
-columns of ``documents``.
+Parquet and read again as the next stage's ``docs``, in few files.  All but the last
+return the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import bpe, decontam, jaccard_join, langid, suffix_dedup
 from strandline.llm.queries import vocabulary
-from strandline.llm.shared import crc_of_id, settle, table
+from strandline.llm.shared import crc_of_id, fewer, settle, table
 
 
 #: The calibrated probability that the likeliest language of a document must reach:
@@ -33,7 +33,7 @@ def language_id(spark, docs, sf_dir):
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     out = langid.predict(plain, model, plain.columns[0], plain.columns[docs.columns.index("text")], tuple(plain.columns[1:]))
     out = out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST))
-    return out.select(*plain.columns).toDF(*docs.columns)
+    return fewer(out.select(*plain.columns).toDF(*docs.columns))
 
 
 def ngram_jaccard_join(spark, docs, sf_dir):
@@ -42,7 +42,7 @@ def ngram_jaccard_join(spark, docs, sf_dir):
     Of equal ids the text of the least hash stays, of equal rows one; null ids come
     last; texts without words link with nothing, and of such rows equal ones are one.
     """
-    return jaccard_join.one_of_each(docs)
+    return fewer(jaccard_join.one_of_each(docs))
 
 
 def suffix_array_dedup(spark, docs, sf_dir):
@@ -52,12 +52,12 @@ def suffix_array_dedup(spark, docs, sf_dir):
     loses all its bytes empty.  ``n_chars`` counts what is left.
     """
     out = suffix_dedup.keep_rest(docs)
-    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
+    return fewer(out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out)
 
 
 def benchmark_decontamination(spark, docs, sf_dir):
     """Documents that overlap with a benchmark item go; null and empty texts overlap with none."""
-    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+    return fewer(decontam.clean(docs, table(spark, sf_dir, "benchmark")))
 
 
 def bpe_encoding_and_decoding(spark, docs, sf_dir):
@@ -65,7 +65,7 @@ def bpe_encoding_and_decoding(spark, docs, sf_dir):
 
     A null or empty text has no ids and decodes to the empty text.
     """
-    return bpe.digests(docs, vocabulary("word_bpe_49k.json"), with_ids=True)
+    return fewer(bpe.digests(docs, vocabulary("word_bpe_49k.json"), with_ids=True, keep=False))
 
 
 STAGES = [

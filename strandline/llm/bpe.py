@@ -438,7 +438,7 @@ _state: dict[str, tuple] = {}
 
 
 def _codec(path: str):
-    """The worker's vocabulary and cache; kept between tasks."""
+    """The worker's vocabulary and cache; kept between tasks, unless one gives them back."""
     if path not in _state:
         bpe = WordBpe(path)
 
@@ -472,10 +472,21 @@ def decode(df, path: str, id_col: str = "doc_id", ids_col: str = "ids"):
     return out.withColumnRenamed("id", id_col)
 
 
-def digests(df, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False):
-    """Encode, decode and return n_tokens, ids_sha256, decoded_sha256 (and ids) of each row."""
+def digests(df, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, keep: bool = True):
+    """Encode, decode and return n_tokens, ids_sha256, decoded_sha256 (and ids) of each row.
+
+    Without ``keep`` a worker gives its vocabulary and cache back when a task ends, as
+    the steps that follow need the memory.
+    """
 
     def run(batches):
+        try:
+            yield from rows(batches)
+        finally:
+            if not keep:
+                _state.pop(path, None)
+
+    def rows(batches):
         bpe, cache, names = _codec(path)
         for batch, data, off in slices(batches, 1, 1 << 20):
             ids, n = encode_rows(cache, bpe.encode_text, data, off)

@@ -63,9 +63,9 @@ def components(edges: DataFrame, local: int = LOCAL) -> DataFrame:
 
     Loops and repeated edges may come; nodes without an edge to another are left out.
     """
-    first = settle(edges.where("u <> v and u is not null and v is not null").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    first = settle(edges.where("u <> v and u is not null and v is not null").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), narrow=True)
     parts = -(-first.count() // local)
-    e = settle(first.repartition(max(1, parts)).mapInArrow(lean(_forest), "u long, v long"))
+    e = settle(first.repartition(max(1, parts)).mapInArrow(lean(_forest), "u long, v long"), narrow=True)
     release(first)
     before = None
     while parts > 1:
@@ -73,6 +73,6 @@ def components(edges: DataFrame, local: int = LOCAL) -> DataFrame:
         if now == before:
             break
         before = now
-        old, e = e, settle(_small(_large(e)))
+        old, e = e, settle(_small(_large(e)), narrow=True)
         release(old)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

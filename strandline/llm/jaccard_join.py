@@ -517,7 +517,7 @@ def _resolve(members: DataFrame, links: DataFrame, sets: _Sets, buckets: int) ->
     edges, caps, turns = links, None, TURNS
     while True:
         lead = _leaders(members, sizes, caps)
-        pairs = settle(members.join(lead, "sign").where("a <> node").select("a", F.col("node").alias("b")).distinct().join(sizes.withColumnRenamed("node", "b"), "b").select("a", "b", "n"))
+        pairs = settle(members.join(lead, "sign").where("a <> node").select("a", F.col("node").alias("b")).distinct().join(sizes.withColumnRenamed("node", "b"), "b").select("a", "b", "n"), narrow=True)
         out = _met(_led(pairs, known, least=True).mapInArrow(_compare(buckets), _PACKED), buckets)
         roots = components(edges.union(out.where(f"kind = {_LINK}").select("a", "b")))
 
@@ -528,18 +528,18 @@ def _resolve(members: DataFrame, links: DataFrame, sets: _Sets, buckets: int) ->
         caps = out.where(f"kind = {_CAP}").select(F.col("a").alias("sign"), F.col("b").alias("cap")).distinct()
         left = rooted(_short_of_cover(out), "node", "root").join(sizes, "node").withColumn("scheme", F.shiftrightunsigned("sign", 41))
         split = left.groupBy("sign").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sign")
-        left = settle(left.join(split, "sign", "left_semi"))
+        left = settle(left.join(split, "sign", "left_semi"), narrow=True)
         # a leader's signatures as one group: of those with few members outside the
         # largest component these are compared with the rest of the group
-        group = settle(left.select("scheme", "node", "root", "n").distinct())
+        group = settle(left.select("scheme", "node", "root", "n").distinct(), narrow=True)
         parts = group.groupBy("scheme", "root").agg(F.count("*").alias("k")).groupBy("scheme").agg(F.sum("k").alias("all"), F.max("k").alias("most"), F.max_by("root", F.struct("k", "root")).alias("big"))
         few = parts.where(F.col("all") - F.col("most") <= turns).select("scheme", "big")
         group = group.join(few, "scheme")
         one = group.where("root <> big").select("scheme", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
         ask = group.join(one, "scheme").where(f"ra <> root and least(n, na) * {DEN} >= greatest(n, na) * {NUM} and (root = big or a < node)")
-        new = _links(settle(cross.union(ask.select("a", F.col("node").alias("b"))).distinct()), known)
+        new = _links(settle(cross.union(ask.select("a", F.col("node").alias("b"))).distinct(), narrow=True), known)
         edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(new)
-        members = settle(left.join(few, "scheme", "left_anti").select("sign", "node"))
+        members = settle(left.join(few, "scheme", "left_anti").select("sign", "node"), narrow=True)
         turns *= STEP
         if members.isEmpty():
             return components(edges)
@@ -556,7 +556,7 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sets = _Sets(named, described)
     pairs = sets.likely(met.where("kind = 0").select("a", "b"))
     links = _links(pairs, sets.of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
-    members = settle(_short_of_cover(met))
+    members = settle(_short_of_cover(met), narrow=True)
     release(met)
     roots = _resolve(members, links, sets, buckets)
     own = settle(described.select("row", "id", "n", "node"))

@@ -33,8 +33,25 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def settle(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back.
+#: Hadoop's file system for ``file:`` without files of checksums beside the files; other stores keep theirs.
+PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
+def fewer(df: DataFrame, narrow: bool = False) -> DataFrame:
+    """The same rows in eight parts a core, or a quarter of the session's parts if that is more.
+
+    Writing a file to a local folder starts processes (``chmod``, several a file), and
+    each of them shares its executor's memory until it runs.  Parts that make up one
+    are worked on one after the other, so that a task holds no more than before.
+    A table of ``narrow`` rows, numbers of nodes and the like, gets a quarter of that.
+    """
+    spark = df.sparkSession
+    parts = max(8 * spark.sparkContext.defaultParallelism, dealt(spark) // 4)
+    return df.coalesce(max(1, parts // 4) if narrow else parts)
+
+
+def settle(df: DataFrame, codec: str = "zstd", narrow: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder, in few files, and return the table read back.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation.  The
     shuffle files of the write go when it has ended, as the table stands in for them.
@@ -44,7 +61,7 @@ def settle(df: DataFrame, codec: str = "zstd") -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", codec).parquet(path)
+        fewer(df, narrow).write.options(**PLAIN).option("compression", codec).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
@@ -120,7 +137,7 @@ BROADCAST_ROWS = 250_000
 
 def light(df: DataFrame) -> DataFrame:
     """A table of narrow rows, marked for broadcast if its counted size allows it."""
-    out = settle(df)
+    out = settle(df, narrow=True)
     return F.broadcast(out) if out.count() <= BROADCAST_ROWS else out
 
 
@@ -136,7 +153,7 @@ SHARE = 1024
 def onto(rows: DataFrame, one: DataFrame, key: str) -> DataFrame:
     """Left join of ``one`` row a key onto rows of which a few keys, or null, may hold most."""
     total = rows.count()
-    heavy = settle(rows.groupBy(key).agg(F.count("*").alias("rows_of")).where(F.col("rows_of") > total / SHARE).select(key))
+    heavy = settle(rows.groupBy(key).agg(F.count("*").alias("rows_of")).where(F.col("rows_of") > total / SHARE).select(key), narrow=True)
     mark = unused([*rows.columns, *one.columns], "is_heavy")
     wide = rows.where(F.col(key).isNotNull()).join(F.broadcast(heavy.withColumn(mark, F.lit(True))), key, "left")
     hot = wide.where(mark).drop(mark).join(F.broadcast(one.join(F.broadcast(heavy), key, "left_semi")), key, "left")
