@@ -179,15 +179,46 @@ def from_number(n: Column, today: Column) -> Column:
     )
 
 
+# What a text must look like for a format to fit.  A format that fails costs an exception,
+# so each text meets at most one of a group; no two shapes of a group have texts in common.
+# Shapes are of the text as given: code that Java compiles has no room to change it first.
+_YEAR, _HM = r"[+-]?\d{4,}", r" \d+:\d+"
+_WHOLE = (
+    (_YEAR + r"-\d+-\d+", "yyyy-M-d"),
+    (_YEAR + r"-\d+-\d+[Tt]\d+:\d+:\d+", "yyyy-M-d'T'H:m:s"),
+    (_YEAR + r"-\d+-\d+" + _HM + r":\d+", "yyyy-M-d H:m:s"),
+    (_YEAR + r"-\d+-\d+" + _HM, "yyyy-M-d H:m"),
+    (_YEAR + r"-\d+", "yyyy-M"),
+    (r"[+-]?\d{8,}", "yyyyMMdd"),
+    (_YEAR + r"/\d+/\d+", "yyyy/M/d"),
+)
+_DAY_MONTH = r"(?:\d+/\d+/|\d{1,2}[-. ]\d{1,2}[-. ])"
+_SLASHED = ((_YEAR, "yyyy"), (r"\d\d", "yy"), (_YEAR + _HM + r":\d+", "yyyy H:m:s"), (_YEAR + _HM, "yyyy H:m"))
+_NAME, _GAP = r"[^-\d ]", "[- ]+"
+_NAMED_MONTH = (
+    (r"\d+" + _GAP + _NAME + "{3}" + _GAP + _YEAR, "d MMM yyyy"),
+    (r"\d+" + _GAP + f"(?:{_NAME}{{1,2}}|{_NAME}{{4,}})" + _GAP + _YEAR, "d MMMM yyyy"),
+    (_NAME + "+" + _GAP + _YEAR, "MMM yyyy"),
+    (_NAME + "+" + _GAP + r"\d+" + _GAP + _YEAR, "MMM d yyyy"),
+)
+
+
+def _by_shape(t: Column, shapes, text: Column) -> Column:
+    """Text as a stamp by the format that fits the shape of ``t``; null where none does."""
+    (shape, fmt), *rest = shapes
+    form = F.when(t.rlike(f"^{shape}$"), fmt)
+    for shape, fmt in rest:
+        form = form.when(t.rlike(f"^{shape}$"), fmt)
+    return F.try_to_timestamp(text, form).cast(NTZ)
+
+
 def parse(text: Column, dialect: str = "uk") -> Column:
     """Text as a stamp; day first ("uk") or month first ("us"); null where nothing fits."""
     t = F.trim(text)
     first = "d/M/" if dialect == "uk" else "M/d/"
     slashed = F.regexp_replace(t, r"^(\d{1,2})[-. ](\d{1,2})[-. ]", "$1/$2/")
-    tries = [(t, f) for f in ("yyyy-M-d'T'H:m:s", "yyyy-M-d H:m:s", "yyyy-M-d H:m", "yyyy-M-d", "yyyy-M", "yyyyMMdd", "yyyy/M/d")]
-    tries += [(slashed, first + f) for f in ("yyyy H:m:s", "yyyy H:m", "yyyy", "yy")]
-    tries += [(F.initcap(F.regexp_replace(t, "[- ]+", " ")), f) for f in ("d MMM yyyy", "d MMMM yyyy", "MMM yyyy", "MMM d yyyy")]
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)).cast(NTZ) for c, f in tries])
+    named = F.initcap(F.regexp_replace(t, "[- ]+", " "))
+    return F.coalesce(_by_shape(t, _WHOLE, t), _by_shape(t, [(_DAY_MONTH + shape, first + f) for shape, f in _SLASHED], slashed), _by_shape(t, _NAMED_MONTH, named))
 
 
 # -- ranges -------------------------------------------------------------------------

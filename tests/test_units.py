@@ -3,6 +3,7 @@
 import datetime as D
 import math
 import os
+import re
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from strandline.functions.calendars import Calendar
 from strandline.operators import align, bitemporal, fill, frame, joins, slices
 from strandline.plans import derive as plans
 from strandline.plans import tooling
+from strandline.queries import QUERIES
 from strandline.sources import files
 from strandline.streaming import incremental
 
@@ -226,6 +228,32 @@ def test_bumps(spark):
             assert [str(r.x)[:10] for r in df.orderBy("d").collect()] == [str(w) for w in want]
 
 
+def test_parse_tries_no_format_in_vain(spark, data):
+    """One format a group, in a method that Java compiles (below 8,000 bytes)."""
+    text = F.col("s")
+    df = spark.createDataFrame([("2001-02-03",)], "s string").select(dates.parse(text).alias("uk"), dates.parse(text, "us").alias("us"))
+    assert df._jdf.queryExecution().analyzed().toString().count("try_to_timestamp(") == 6
+    for made in (df, QUERIES["date_text"](spark, data)):
+        code = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package").codegenString(made._jdf.queryExecution().executedPlan())
+        assert 0 < max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) < 8000
+    shapes = [dates._WHOLE, dates._SLASHED, dates._NAMED_MONTH]
+    texts = {"2001-2-3 4:5", "+12001-2-3", "2001-2", "20010203", "2001/2/3", "2001", "01", "2001 4:5:6", "3 May 2001", "3-Sept-2001", "May 2001", "May - 3 2001", "0001-02-03T4:5:6"}
+    assert all(sum(bool(re.search(f"^{shape}$", t)) for shape, _ in group) <= 1 for group in shapes for t in texts)
+
+
+def test_parse_of_odd_texts(spark):
+    d = T(2001, 2, 3)
+    want = {
+        "2001-2-3t4:5:6": T(2001, 2, 3, 4, 5, 6), "2001-02-03 4:5:6": T(2001, 2, 3, 4, 5, 6), "2001-002-3 4:5": T(2001, 2, 3, 4, 5), "2001/2/3": d, "2001-02-30": None, "2001-13": None,
+        "3.2.2001": d, "3 2 2001 4:5": T(2001, 2, 3, 4, 5), "03/02/2001 04:05:06": T(2001, 2, 3, 4, 5, 6), "003/2/2001": d, "003-2-2001": None, "3-2/2001": None, "3/2/001": None, "31/2/2001": None,
+        "0003/2/2001": d, "0003/2/0001": T(3, 2, 1), "0013/03/0002": T(13, 3, 2), "3-feb-2001": d, "3  FEBRUARY -2001": d, "Feb - 2001": T(2001, 2, 1), "feb 3 2001": d, "3 Febr 2001": None, "-3 Feb 2001": None,
+        "3 May 2001": T(2001, 5, 3), " 20010203 ": d, "120010203": None, "20010203\n": None, "2001-02-03 ": d, "2001-02-03Z": None,
+    }
+    rows = spark.createDataFrame(list(enumerate(want)), "i int, s string").orderBy("i").select("s", dates.parse(F.col("s")).alias("t")).collect()
+    assert {r.s: r.t for r in rows} == want
+    assert one(spark, dates.parse(F.lit("0003/13/0002"), "us"), dates.parse(F.lit("0003/13/0002"))) == (T(2, 3, 13), None)
+
+
 def test_dates(spark):
     ntz = lambda s: F.lit(s).cast("timestamp_ntz")
     texts = ["2001-02-03", "20010203", "3/2/2001", "03-02-01", "3 Feb 2001", "2001-02", "nonsense", "", None, "2001-02-03T04:05:06"]
